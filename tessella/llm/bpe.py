@@ -1,15 +1,16 @@
 """BPE as a streaming transducer with bounded lookahead, and decoding as a state machine.
 
-The tokens of a merge list are the only sequence in which no two neighbours would have been
-merged across their border. So the last token of every prefix is determined by the prefixes
-before it, and one left-to-right pass finds the encoding. Which tokens of a prefix can still
-change is bounded by the merge list's lookahead, computed below; tokens further back are
-emitted, and nothing before them is kept.
+Whether a token at the front of a text stands depends on a bounded number of symbols after it,
+however the text goes on. That number follows from the merge list. The transducer holds a
+window of symbols, merges it, emits the tokens that have that many symbols behind them, and
+goes on from the last border emitted: what follows a border of the encoding is the encoding of
+what follows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, ignores_space, load, runs
+from .chunks import Memo, chunks, folds, ignores_space, load, plain_word, segments
 
 _NEVER = 1 << 60
+#: Windows of up to so many symbols are merged by scanning, longer ones with a heap.
+_SCAN = 64
 
 
 class MergeList:
@@ -46,9 +49,6 @@ class MergeList:
             self.parts[a + b], self.born[a + b] = (a, b), k
         self.longest = max((self.width(t) for t in self.vocab), default=1)
         self.lookahead = self._lookahead(merges)
-        self._left: dict[str, list[tuple[str, int]]] = {}
-        self._right: dict[str, list[tuple[str, int]]] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
 
     def width(self, token: str) -> int:
         """Symbols in a token; the suffix belongs to its last one."""
@@ -74,111 +74,78 @@ class MergeList:
             far = max(far, n)
         return far
 
-    def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
-        """What stands on one edge of a token while it grows, each with the merge that ends it."""
-        known = self._right if side else self._left
-        if token not in known:
-            out, end = [], _NEVER
-            while True:
-                out.append((token, end))
-                if token not in self.parts:
-                    break
-                end = self.born[token]
-                token = self.parts[token][side]
-            known[out[0][0]] = out
-            return out
-        return known[token]
-
-    def fits(self, a: str, b: str) -> bool:
-        """Whether a and b can be neighbours: no merge ever takes place across their border.
-
-        A merge across the border comes in time if it is earlier than what ends its right part,
-        and earlier than what ends its left part; of equal merges the leftmost comes first.
-        """
-        key = (a, b)
-        ok = self._fits.get(key)
-        if ok is None:
-            rank, right = self.rank, self._edge(b, 0)
-            ok = True
-            for x, x_end in self._edge(a, 1):
-                for y, y_end in right:
-                    r = rank.get((x, y))
-                    if r is not None and r < x_end and r <= y_end:
-                        ok = False
-                        break
-                if not ok:
-                    break
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            self._fits[key] = ok
-        return ok
+    def merge(self, symbols: list[str]) -> list[str]:
+        """All merges in order of rank, the leftmost first among equals."""
+        rank = self.rank.get
+        if len(symbols) > _SCAN:
+            return self._merge_long(symbols)
+        ranks = [rank(p, _NEVER) for p in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), _NEVER)
+        return symbols
+
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        n, rank = len(symbols), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue  # one of the two has gone into another token meanwhile
+            symbols[i], symbols[j] = a + b, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((a + b, symbols[k]))) is not None:
+                    heapq.heappush(heap, (r, i, a + b, symbols[k]))
+            h = before[i]
+            if h >= 0 and (r := rank((symbols[h], a + b))) is not None:
+                heapq.heappush(heap, (r, h, symbols[h], a + b))
+        return [x for x in symbols if x]
 
 
 class Encoder:
     """The transducer for one pre-token: feed() takes symbols and gives stable tokens, end() the rest.
 
-    Kept: the last token of each of the newest prefixes, at most twice the lookahead plus the
-    longest token.
+    Kept are at most ``window`` symbols, a fixed multiple of the lookahead.
     """
 
-    def __init__(self, merges: MergeList):
-        self.m = merges
-        self.base, self.text = 0, ""  # symbols before the base are emitted; text starts there
-        self.last: list[str] = [""]  # last token of the prefix that ends i symbols after the base; at 0 the one emitted last
-        self.held = ""  # the newest symbol, which may turn out to be the last of the word
-        self.kept = merges.lookahead + merges.longest
-        self.before = ""
-
-    def _step(self, final: bool) -> None:
-        m, text, last = self.m, self.text, self.last
-        i, vocab, fits, suffix = len(last), m.vocab, m.fits, m.suffix if final else ""
-        for width in range(min(i, m.longest), 0, -1):
-            token = text[i - width : i] + suffix
-            if token in vocab:
-                before = last[i - width] if i > width else self.before
-                if not before or fits(before, token):
-                    last.append(token)
-                    return
-        raise ValueError(f"no token for {text[i - 1]!r}")
-
-    def _path(self, i: int) -> list[tuple[int, str]]:
-        out = []
-        while i > 0:
-            token = self.last[i]
-            out.append((i, token))
-            i -= self.m.width(token)
-        return out[::-1]
+    def __init__(self, merges: MergeList, window: int | None = None):
+        self.m, self.held = merges, ""
+        self.window = max(window or 0, 4 * merges.lookahead)
 
     def feed(self, symbols: str) -> Iterator[str]:
-        for c in symbols:
-            if self.held:
-                self.text += self.held
-                self._step(False)
-                if len(self.last) > 2 * self.kept:
-                    yield from self._emit()
-            self.held = c
-
-    def _emit(self) -> Iterator[str]:
-        n = len(self.last) - 1
-        stable = [x for x in self._path(n) if x[0] <= n - self.kept]
-        # the bound is proven; what any later token can attach to must agree with it
-        for i in range(max(1, n - self.m.longest + 1), n):
-            other = set(self._path(i))
-            while stable and stable[-1] not in other:
-                stable.pop()
-        if stable:
-            end = stable[-1][0]
-            yield from (t for _, t in stable)
-            self.before = stable[-1][1]
-            self.text, self.last = self.text[end:], [self.before, *self.last[end + 1 :]]
-            self.base += end
-
-    def end(self) -> Iterator[str]:
-        if self.held:
-            self.text += self.held
-            self._step(True)
-            yield from (t for _, t in self._path(len(self.last) - 1))
-        self.base, self.text, self.last, self.held, self.before = 0, "", [""], "", ""
+        at = 0
+        while len(self.held) + len(symbols) - at > self.window:
+            take = self.window - len(self.held)
+            self.held += symbols[at : at + take]
+            at += take
+            tokens, end = self.m.merge(list(self.held)), 0
+            for t in tokens:
+                if end + len(t) > len(self.held) - self.m.lookahead:
+                    break
+                end += len(t)
+                yield t
+            self.held = self.held[end:]
+        self.held += symbols[at:]
+
+    def end(self) -> list[str]:
+        """The last tokens; the last symbol of all carries the end-of-word suffix."""
+        symbols, self.held = list(self.held), ""
+        if symbols:
+            symbols[-1] += self.m.suffix
+        return self.m.merge(symbols)
 
 
 class Utf8Machine:
@@ -248,15 +215,22 @@ class Codec:
         self.bytes_of = byte_symbols()
         self.texts = {i: t for t, i in (self.m.vocab | self.added).items()}
         self.spaceless = ignores_space(self.tok)
+        self.folds = folds(path)
+        own = {b: c for c, b in self.bytes_of.items()}
+        #: plain letters as the symbols of their bytes
+        self.symbols_of = {k: "".join(own[b] for b in chr(k).encode()) for k in range(0xC0, 0x180)}
         self.words: dict[str, list[int]] = {}
         self.cached = cached
 
     def _word(self, symbols: str) -> list[int]:
         ids = self.words.get(symbols)
         if ids is None:
-            run = Encoder(self.m)
             vocab = self.m.vocab
-            ids = [vocab[t] for t in run.feed(symbols)] + [vocab[t] for t in run.end()]
+            if len(symbols) <= _SCAN:  # within the window: nothing is stable before the end
+                ids = [vocab[t] for t in self.m.merge([*symbols[:-1], symbols[-1] + self.m.suffix])]
+            else:
+                run = Encoder(self.m)
+                ids = [vocab[t] for t in run.feed(symbols)] + [vocab[t] for t in run.end()]
             if len(symbols) <= 48:
                 if len(self.words) >= self.cached:
                     self.words.clear()
@@ -265,6 +239,8 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; strings of added tokens in it become their ids, as by default."""
+        if self.folds and plain_word(text):
+            return self._word(text.translate(self.symbols_of))
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
@@ -303,16 +279,16 @@ _codecs: dict[str, tuple[Codec, Memo]] = {}
 def _codec(path: str) -> tuple[Codec, Memo]:
     if path not in _codecs:
         _codecs.clear()
-        codec = Codec(path, cached=250_000)
+        codec = Codec(path, cached=400_000)
+
+        def both(chunk: str) -> tuple[str, str]:
+            ids = codec.encode(chunk)
+            return " ".join(map(str, ids)), "".join(codec.decode(ids))
 
-        def both(new: list[str]) -> list[tuple[str, str]]:
-            out = []
-            for x in new:
-                ids = codec.encode(x)
-                out.append((" ".join(map(str, ids)), "".join(codec.decode(ids))))
-            return out
+        def join(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+            return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
 
-        _codecs[path] = codec, Memo(both, limit=250_000)
+        _codecs[path] = codec, Memo(both, limit=600_000, join=join if folds(path) else None)
     return _codecs[path]
 
 
@@ -363,10 +339,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n = [0] * len(texts)
             digests = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
             if chunked:
-                for part in runs(texts):
-                    get = memo.of([x for _, x in part]).__getitem__
-                    for row, x in part:
-                        found = [p for p in map(get, x) if p[0]]
+                for row, text in enumerate(texts):
+                    for part in segments(text or ""):
+                        found = [p for p in map(memo.__getitem__, chunks(part)) if p[0]]
                         if found:
                             ids, own = " ".join([p[0] for p in found]), " ".join([p[1] for p in found])
                             lead = " " if n[row] else ""

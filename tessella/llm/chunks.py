@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from typing import Any
 
 _SPACE = re.compile(r"[ \t\n\r]")
 #: str.split() also cuts at these four, which are no white space to the tokenizers.
@@ -30,20 +32,6 @@ def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
         yield text[at:]
 
 
-def runs(texts: list[str | None], size: int = 1 << 19) -> Iterator[list[tuple[int, list[str]]]]:
-    """(row, chunks of one of its segments), gathered until about ``size`` characters."""
-    held, n = [], 0
-    for row, text in enumerate(texts):
-        for part in segments(text or ""):
-            held.append((row, chunks(part)))
-            n += len(part) + 100
-            if n >= size:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
-
-
 def load(path: str):
     """The library's tokenizer, without truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,30 +60,63 @@ def ignores_space(tok) -> bool:
     return all(ids(c + a + c + b + c) == ids(a) + ids(b) for c in spaces for a in probes for b in probes[:3])
 
 
-class Memo:
-    """What worker processes keep for chunks: a fixed part, and a part that is emptied when full.
+_PLAIN = re.compile("[!-~À-įĲ-ňŊ-ſ]*")
+_WORDS_AND_MARKS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def folds(path: str) -> bool:
+    """Whether the file lower-cases and cuts words from marks, so that ``Word,`` has the ids of ``word`` and then those of ``,``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return any(p["type"] == "Lowercase" for p in parts) and bool(cuts) and cuts[0].get("pattern") == {"Regex": _WORDS_AND_MARKS} and cuts[0].get("invert") is True
+
+
+def fold(chunk: str) -> tuple[str, str]:
+    """A chunk of plain letters as its lower case and the one mark that follows a word in it, if any.
+
+    Plain are printable ASCII and the precomposed Latin letters whose lower case is one letter.
+    """
+    if not _PLAIN.fullmatch(chunk):
+        return chunk, ""
+    if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
+        return chunk[:-1].lower(), chunk[-1]
+    return chunk.lower(), ""
+
+
+def plain_word(chunk: str) -> bool:
+    """Whether a chunk is one word of plain lower-case letters, which normalisation and the cut leave as it is."""
+    return chunk.isalpha() and chunk.islower() and _PLAIN.fullmatch(chunk) is not None
+
+
+class Memo(dict):
+    """What a worker process keeps for chunks: a fixed part, and a rest that is dropped when it is full.
 
-    ``compute`` takes a list of chunks and returns their values. Chunks of over ``longest``
-    characters are computed each time, so memory stays bounded.
+    ``compute`` gives the value of a chunk. With ``join``, the value of a chunk that folds into
+    a word and a mark is joined from theirs. Chunks of over ``longest`` characters are computed
+    each time, so memory stays bounded.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 400_000, longest: int = 48):
-        self.compute, self.fixed, self.limit, self.longest = compute, fixed or {}, limit, longest
-        self.table = dict(self.fixed)
-
-    def of(self, lists: list[list[str]]) -> dict:
-        """A table that has at least the chunks of ``lists``; valid until the next call."""
-        seen: set[str] = set()
-        for x in lists:
-            seen.update(x)
-        new = list(seen.difference(self.table))
-        if new:
-            if len(self.table) + len(new) > self.limit + len(self.fixed):
-                self.table = dict(self.fixed)
-                new = list(seen.difference(self.table))
-            short = [c for c in new if len(c) <= self.longest]
-            self.table.update(zip(short, self.compute(short)))
-            if len(short) < len(new):
-                long = [c for c in new if len(c) > self.longest]
-                return self.table | dict(zip(long, self.compute(long)))
-        return self.table
+    def __init__(self, compute: Callable[[str], Any], fixed: dict | None = None, limit: int = 1_000_000, longest: int = 48, join: Callable[[Any, Any], Any] | None = None):
+        super().__init__(fixed or {})
+        self.compute, self.fixed, self.limit, self.longest, self.join = compute, fixed or {}, limit, longest, join
+
+    def __missing__(self, chunk: str):
+        if len(chunk) > self.longest:
+            return self.compute(chunk)
+        if self.join is None:
+            value = self.compute(chunk)
+        else:
+            word, mark = fold(chunk)
+            if word != chunk:
+                value = self[word]
+                if mark:
+                    value = self.join(value, self[mark])
+            else:
+                value = self.compute(chunk)
+        if len(self) >= self.limit:
+            self.clear()
+            self.update(self.fixed)
+        self[chunk] = value
+        return value

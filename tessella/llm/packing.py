@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, ignores_space, load, runs
+from .chunks import Memo, chunks, folds, ignores_space, load, segments
 from .common import cut
 
 #: Open bins of a task.
@@ -18,6 +21,7 @@ OPEN = 256
 #: Bins left open by tasks that one task of the second round packs.
 ROUND = 16_384
 _memos: dict = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class BestFit:
@@ -63,36 +67,22 @@ class BestFit:
         return {b for at in self.bins.values() for b in at}
 
 
-def _memo(path: str) -> Memo | None:
-    """Ids of chunks as bytes; None if the tokenizer looks across white space."""
+def _encoder(path: str):
+    """The tokenizer, and its memo of chunks' ids as bytes (None if it looks across white space)."""
     if path not in _memos:
         _memos.clear()
         tok = load(path)
-
-        def ids(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _memos[path] = (Memo(ids, limit=300_000) if ignores_space(tok) else None, ids)
+        memo = Memo(lambda c: array("I", tok.encode(c, add_special_tokens=False).ids).tobytes(), join=operator.add if folds(path) else None)
+        _memos[path] = tok, memo if ignores_space(tok) else None
     return _memos[path]
 
 
-def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of each text, little-endian and unsigned, in 32 bits each."""
-    memo, ids = _memo(path)
+def encoded(text: str | None, path: str) -> bytes:
+    """Ids of a text, unsigned in 32 bits each."""
+    tok, memo = _encoder(path)
     if memo is None:
-        for k in range(0, len(texts), 64):
-            yield from ids([t or "" for t in texts[k : k + 64]])
-        return
-    held, at = [], 0
-    for run in runs(texts):
-        get = memo.of([x for _, x in run]).__getitem__
-        for row, x in run:
-            while at < row:
-                yield b"".join(held)
-                held, at = [], at + 1
-            held.append(b"".join(map(get, x)))
-    if texts:
-        yield b"".join(held)
+        return array("I", tok.encode(text or "", add_special_tokens=False).ids).tobytes()
+    return b"".join([b"".join(map(memo.__getitem__, chunks(part))) for part in segments(text or "")])
 
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, is_open boolean"
@@ -136,8 +126,8 @@ def pack(
 
         for b in batches:
             pieces = []
-            for doc, data in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist(), path)):
-                data += end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = encoded(text, path) + end
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     own = data[at : at + 4 * size]
                     pieces.append((len(own) // 4, doc, k, at // 4, zlib.crc32(own), own if with_ids else None))

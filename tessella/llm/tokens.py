@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, ignores_space, load, segments, runs
+from .chunks import Memo, chunks, folds, ignores_space, load, segments
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
 FREQUENT = 32_768
@@ -83,7 +84,7 @@ class _Lengths:
             _memos.clear()
             tok = load(self.path)
             fixed = dict(zip(self.words.decode().split(" ") if self.words else [], np.frombuffer(self.n, np.uint16).tolist()))
-            _memos[key] = Memo(lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)], fixed, limit=400_000)
+            _memos[key] = Memo(lambda c: len(tok.encode(c, add_special_tokens=False)), fixed, join=operator.add if folds(self.path) else None)
         return _memos[key]
 
 
@@ -131,10 +132,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 n = np.array(whole(texts.to_pylist()), np.int64)
             else:
                 n, memo = np.zeros(len(texts), np.int64), shared.value.memo()
-                for run in runs(texts.to_pylist()):
-                    get = memo.of([x for _, x in run]).__getitem__
-                    for row, x in run:
-                        n[row] += sum(map(get, x))
+                for row, text in enumerate(texts.to_pylist()):
+                    n[row] = sum(sum(map(memo.__getitem__, chunks(part))) for part in segments(text))
             size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -72,14 +72,53 @@ def test_byte_level_codec_agrees_with_the_library():
 
 def test_transducer_keeps_bounded_memory_and_emits_early(library):
     codec, rng = Codec(WORD), random.Random(4)
-    for letters in ("ab", "a", "thein", "abcdefghijklmnopqrstuvwxyz"):
-        text = "".join(rng.choice(letters) for _ in range(6000))
-        run, out, most = Encoder(codec.m), [], 0
-        for c in text:
-            out += run.feed(c)
-            most = max(most, len(run.last))
-        assert len(out) > 100 and most <= 4 * run.kept
-        assert [codec.m.vocab[t] for t in [*out, *run.end()]] == library.encode(text, add_special_tokens=False).ids
+    assert codec.m.lookahead < 1000
+    for letters in ("ab", "a", "thein", "ing", "abcdefghijklmnopqrstuvwxyz", "0=-_"):
+        for size in (3000, 9000):
+            text = "".join(rng.choice(letters) for _ in range(size))
+            pieces = [x for x, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+            ids, early = [], 0
+            for piece in pieces:
+                run = Encoder(codec.m)
+                for c in piece:
+                    got = [codec.m.vocab[t] for t in run.feed(c)]
+                    early += len(got)
+                    ids += got
+                    assert len(run.held) <= run.window
+                ids += [codec.m.vocab[t] for t in run.end()]
+            assert ids == library.encode(text, add_special_tokens=False).ids
+            assert early > 100 or len(pieces) > 1
+
+
+def test_lookahead_suffices_for_a_small_merge_list(tmp_path):
+    """All texts over a small alphabet: what has the lookahead behind it never changes."""
+    import itertools
+    import json
+
+    rng = random.Random(8)
+    for n in range(30):
+        tokens, merges = ["a", "b"], []
+        while len(merges) < 6:
+            m = (rng.choice(tokens), rng.choice(tokens))
+            if m[0] + m[1] not in tokens and len(m[0] + m[1]) <= 5:
+                merges.append(list(m))
+                tokens.append(m[0] + m[1])
+        path = tmp_path / f"{n}.json"
+        path.write_text(json.dumps({"model": {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}}))
+        from tessella.llm.bpe import MergeList
+
+        m = MergeList(str(path))
+        if m.lookahead > 9:
+            continue
+        for text in itertools.product("ab", repeat=12):
+            whole = m.merge(list(text))
+            for cut in (10, 11):
+                part, at = m.merge(list(text[:cut])), 0
+                for a, b in zip(part, whole):
+                    at += len(a)
+                    if at > cut - m.lookahead:
+                        break
+                    assert a == b
 
 
 def test_utf8_machine():
