@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, folds, ignores_space, load, plain_word, segments
+from .chunks import LETTERS, Memo, byte_symbols, chunks, folds, ignores_space, load, plain_word, segments
 
 _NEVER = 1 << 60
 #: Windows of up to so many symbols are merged by scanning, longer ones with a heap.
@@ -187,13 +187,6 @@ class Utf8Machine:
         return "�" if left else ""
 
 
-def byte_symbols() -> dict[str, int]:
-    """The symbols that byte-level tokenizers write for bytes: printable ones stand for themselves, the others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out = {chr(b): b for b in plain}
-    return out | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in out.values())}
-
-
 class Codec:
     """Encoding and decoding with one tokenizer file.
 
@@ -216,9 +209,6 @@ class Codec:
         self.texts = {i: t for t, i in (self.m.vocab | self.added).items()}
         self.spaceless = ignores_space(self.tok)
         self.folds = folds(path)
-        own = {b: c for c, b in self.bytes_of.items()}
-        #: plain letters as the symbols of their bytes
-        self.symbols_of = {k: "".join(own[b] for b in chr(k).encode()) for k in range(0xC0, 0x180)}
         self.words: dict[str, list[int]] = {}
         self.cached = cached
 
@@ -240,7 +230,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """Ids of a text; strings of added tokens in it become their ids, as by default."""
         if self.folds and plain_word(text):
-            return self._word(text.translate(self.symbols_of))
+            return self._word(text.translate(LETTERS))
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:

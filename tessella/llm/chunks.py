@@ -90,6 +90,32 @@ def plain_word(chunk: str) -> bool:
     return chunk.isalpha() and chunk.islower() and _PLAIN.fullmatch(chunk) is not None
 
 
+def byte_symbols() -> dict[str, int]:
+    """The symbols that byte-level tokenizers write for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in plain}
+    return out | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in out.values())}
+
+
+_SYMBOL = {b: c for c, b in byte_symbols().items()}
+#: Plain letters that aren't ASCII as the symbols of their bytes, for str.translate().
+LETTERS = {k: "".join(_SYMBOL[b] for b in chr(k).encode()) for k in range(0xC0, 0x180)}
+
+
+def encoder(path: str, tok) -> Callable[[str], list[int]]:
+    """The library's ids of a chunk; where :func:`folds` holds, plain words go straight to the library's model."""
+    if not folds(path):
+        return lambda chunk: tok.encode(chunk, add_special_tokens=False).ids
+    model = tok.model
+
+    def ids(chunk: str) -> list[int]:
+        if plain_word(chunk) and len(chunk) <= 48:
+            return [t.id for t in model.tokenize(chunk.translate(LETTERS))]
+        return tok.encode(chunk, add_special_tokens=False).ids
+
+    return ids
+
+
 class Memo(dict):
     """What a worker process keeps for chunks: a fixed part, and a rest that is dropped when it is full.
 

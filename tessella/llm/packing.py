@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, folds, ignores_space, load, segments
+from .chunks import Memo, chunks, encoder, folds, ignores_space, load, segments
 from .common import cut
 
 #: Open bins of a task.
@@ -72,7 +72,8 @@ def _encoder(path: str):
     if path not in _memos:
         _memos.clear()
         tok = load(path)
-        memo = Memo(lambda c: array("I", tok.encode(c, add_special_tokens=False).ids).tobytes(), join=operator.add if folds(path) else None)
+        ids = encoder(path, tok)
+        memo = Memo(lambda c: array("I", ids(c)).tobytes(), join=operator.add if folds(path) else None)
         _memos[path] = tok, memo if ignores_space(tok) else None
     return _memos[path]
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, folds, ignores_space, load, segments
+from .chunks import Memo, chunks, encoder, folds, ignores_space, load, segments
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
 FREQUENT = 32_768
@@ -82,9 +82,9 @@ class _Lengths:
         key = (self.path, len(self.words), hash(self.words))
         if key not in _memos:
             _memos.clear()
-            tok = load(self.path)
+            ids = encoder(self.path, load(self.path))
             fixed = dict(zip(self.words.decode().split(" ") if self.words else [], np.frombuffer(self.n, np.uint16).tolist()))
-            _memos[key] = Memo(lambda c: len(tok.encode(c, add_special_tokens=False)), fixed, join=operator.add if folds(self.path) else None)
+            _memos[key] = Memo(lambda c: len(ids(c)), fixed, join=operator.add if folds(self.path) else None)
         return _memos[key]
 
 

@@ -1,14 +1,17 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its character n-grams and of itself, a passage the mean
-of its words, and a softmax layer maps that to two classes. Misspellings that were never seen
-share n-gram vectors with the words they come from.
+A word is the mean of the vectors of its character n-grams and of itself, a bag of words the
+mean of its words, and a softmax layer maps that to two classes. Misspellings that were never
+seen share n-gram vectors with the words they come from. The model is fitted to whole texts; a
+text's score is that of its most toxic passage, so that long texts hide nothing.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, runs
-from .common import cut
+from .chunks import Memo, chunks, segments
+from .labelled import held_out, labelled_sample, platt
 
 #: Labelled rows of each class that a model is fitted on, at most (in expectation).
-PER_CLASS = 4096
+PER_CLASS = 3072
 #: Characters of a labelled text, at most, for it to be fitted on; any text is scored whole.
 LONGEST = 32_768
-#: Words of a passage; a text's score is that of its most toxic passage.
-PASSAGE = 64
-BUCKETS, DIM, MIN_N, MAX_N = 1 << 17, 8, 3, 6
+#: Words of a passage.
+PASSAGE = 2
+BUCKETS, DIM = 1 << 17, 6
+#: Characters of an n-gram.
+_SIZES = (3, 4, 5)
 _WORD = re.compile(r"\w+")
 _memos: dict = {}
 
@@ -34,100 +39,157 @@ _memos: dict = {}
 def subwords(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams with marked ends."""
     w = f"<{word}>"
-    grams = {w} | {w[i : i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(w) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+    try:
+        codes = w.encode("latin-1")  # a byte for each character, which is all that cutting needs
+    except UnicodeEncodeError:
+        grams = {w[i : i + n] for n in _SIZES for i in range(len(w) - n + 1)} | {w}
+        return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+    grams = {codes[i : i + n] for n in _SIZES for i in range(len(codes) - n + 1)}
+    grams.add(codes)
+    return [h % BUCKETS for h in map(zlib.crc32, grams)]
 
 
 class SubwordSoftmax:
-    """Embeddings and output layer; ``weight`` and ``bias`` hold what scoring needs once fitted.
+    """Embeddings and output layer; ``weight``, ``slope`` and ``bias`` hold what scoring needs once fitted.
 
     Mean and output layer are linear, so a bucket's share of the margin between the classes is
     its vector times the difference of the output columns: one number for each bucket.
     """
 
     def __init__(self, seed: int = 0):
-        self.seed, self.weight, self.bias = seed, np.zeros(BUCKETS, np.float32), 0.0
+        self.seed, self.weight, self.slope, self.bias = seed, np.zeros(BUCKETS, np.float32), 1.0, 0.0
+        self._list: list[float] | None = None
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 16, rate: float = 0.15, rounds: int = 2, batches: int = 6, least: int = 5) -> "SubwordSoftmax":
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 16, rate: float = 0.2, batches: int = 6, least: int = 5) -> "SubwordSoftmax":
         """Fits to labelled texts; with one class or none, the score is that class's smoothed share.
 
-        Buckets that fewer than ``least`` texts have stay at zero. After each round but the
-        last, passages of toxic texts that the model takes for clean are left out, but for the
-        text's most toxic one: a toxic text need not be toxic throughout.
+        Four fifths of the texts train vectors and softmax jointly (RMSprop and Adagrad,
+        classes weighted evenly), a fifth calibrates the passage scores. Buckets that fewer
+        than ``least`` texts have stay at zero.
         """
-        y_doc = np.asarray(labels, np.int64)
-        if not len(y_doc) or y_doc.min() == y_doc.max():
-            p = (y_doc.sum() + 0.5) / (len(y_doc) + 1)
+        y = np.asarray(labels, np.int64)
+        if not len(y) or y.min() == y.max():
+            p = (y.sum() + 0.5) / (len(y) + 2)
             self.bias = float(np.log(p / (1 - p)))
             return self
+        rng = np.random.default_rng(self.seed)
+        aside = rng.permutation(len(y)) % 5 == 0
+        self._train([t for t, out in zip(texts, aside) if not out], y[~aside], epochs, rate, batches, least, rng)
+        margins = np.array([self.margin(t) for t, out in zip(texts, aside) if out])
+        self.slope, self.bias = platt(margins, y[aside])
+        return self
+
+    def _train(self, texts, y, epochs, rate, batches, least, rng) -> None:
         number: dict[str, int] = {}
-        tokens, lengths, owner, df = [], [], [], Counter()
+        words, counts, docs, df = array("i"), array("f"), array("i"), Counter()
         for d, text in enumerate(texts):
-            words = [number.setdefault(w, len(number)) for w in _WORD.findall((text or "").lower())]
-            df.update(set(words))
-            tokens += words
-            for k in range(0, max(1, len(words)), PASSAGE):
-                lengths.append(min(PASSAGE, len(words) - k))
-                owner.append(d)
-        tokens, lengths, owner = np.array(tokens, np.int64), np.array(lengths), np.array(owner)
-        grams = [subwords(w) for w in number]
-        n_grams = np.array(list(map(len, grams)))
-        flat = np.fromiter((g for x in grams for g in x), np.int64, int(n_grams.sum()))
-        del grams
-        seen = np.bincount(flat, np.repeat([df[k] for k in range(len(number))], n_grams), BUCKETS)
-        # only what is learnt counts from here on: tokens with a learnt bucket, and those buckets
+            own = Counter(number.setdefault(w, len(number)) for w in _WORD.findall((text or "").lower()))
+            df.update(own.keys())
+            words.extend(own.keys())
+            counts.extend(own.values())
+            docs.extend([d] * len(own))
+        flat, size = array("i"), array("i")
+        for w in number:
+            own = subwords(w)
+            flat.extend(own)
+            size.append(len(own))
+        words, docs = np.array(words, np.int64), np.array(docs, np.int64)
+        counts, flat, size = np.array(counts, np.float32), np.array(flat, np.int32), np.array(size, np.int64)
+        total = np.maximum(1, np.bincount(docs, counts, len(y)))
+        share_of = (counts / total[docs]).astype(np.float32)
+        seen = np.bincount(flat, np.repeat([df[k] for k in range(len(number))], size), BUCKETS)
         learnt = seen[flat] >= least
-        word_of = np.repeat(np.arange(len(number)), n_grams)[learnt]
-        flat = flat[learnt]
-        own, flat = np.unique(flat, return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        rng = np.random.default_rng(self.seed)
+        word_of = np.repeat(np.arange(len(number), dtype=np.int32), size)[learnt]
+        own, flat = np.unique(flat[learnt], return_inverse=True)
+        inverse = (1 / size)[:, None].astype(np.float32)
         vec = rng.normal(0, 0.05, (len(own), DIM)).astype(np.float32)
         out = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
         g_vec, g_out, g_bias = np.zeros((len(own), 1), np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-        y = y_doc[owner]
-
-        def by(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-            return np.stack([np.bincount(rows, x[:, j], n) for j in range(x.shape[1])], 1).astype(np.float32)
-
-        def margins() -> np.ndarray:
-            word = np.bincount(word_of, (vec @ (out[:, 1] - out[:, 0]))[flat], len(number)) / n_grams
-            sums = np.concatenate([[0.0], np.cumsum(word[tokens])])
-            return (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(1, lengths) + float(bias[1] - bias[0])
-
-        pick = np.arange(len(y))
-        for turn in range(rounds):
-            if turn:
-                m = margins()
-                best = np.full(len(y_doc), -np.inf)
-                np.maximum.at(best, owner, m)
-                pick = np.flatnonzero((y == 0) | (m > 0) | (m == best[owner]))
-            share = np.array([len(pick) / 2 / max(1, (y[pick] == k).sum()) for k in (0, 1)], np.float32)
-            for _ in range(epochs // rounds):
-                rng.shuffle(pick)
-                for rows in np.array_split(pick, batches):
-                    rows = np.sort(rows)
-                    n = lengths[rows]
-                    words = tokens[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    row_of = np.repeat(np.arange(len(rows)), n)
-                    scale = 1 / np.maximum(1, n)[:, None].astype(np.float32)
-                    wv = by(word_of, vec[flat], len(number)) / n_grams[:, None]
-                    hidden = by(row_of, wv[words], len(rows)) * scale
-                    z = hidden @ out + bias
-                    p = np.exp(z - z.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    p[np.arange(len(rows)), y[rows]] -= 1
-                    p *= share[y[rows]][:, None] / len(rows)
-                    d_word = by(words, ((p @ out.T) * scale)[row_of], len(number)) / n_grams[:, None]
-                    d_vec = by(flat, d_word[word_of], len(own))
-                    d_out, d_bias = hidden.T @ p, p.sum(0)
-                    g_vec += (d_vec**2).mean(1, keepdims=True)
-                    vec -= rate * d_vec / np.sqrt(g_vec + 1e-12)
-                    g_out += d_out**2
-                    out -= rate * d_out / np.sqrt(g_out + 1e-12)
-                    g_bias += d_bias**2
-                    bias -= rate * d_bias / np.sqrt(g_bias + 1e-12)
+        even = np.array([len(y) / 2 / max(1, (y == k).sum()) for k in (0, 1)], np.float32)
+        starts = np.searchsorted(docs, np.arange(len(y) + 1))
+
+        def by(rows: np.ndarray, x: np.ndarray, at: np.ndarray, n: int, times=1) -> np.ndarray:
+            """Sums of x[at] * times by row, a column at a time to save memory."""
+            return np.stack([np.bincount(rows, x[at, j] * times, n).astype(np.float32) for j in range(x.shape[1])], 1)
+
+        for _ in range(epochs):
+            for rows in np.array_split(rng.permutation(len(y)), batches):
+                n = starts[rows + 1] - starts[rows]
+                at = np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row_of, w, share = np.repeat(np.arange(len(rows)), n), words[at], share_of[at]
+                of_word = by(word_of, vec, flat, len(number)) * inverse
+                hidden = by(row_of, of_word, w, len(rows), share)
+                z = hidden @ out + bias
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(rows)), y[rows]] -= 1
+                p *= even[y[rows]][:, None] / max(1, len(rows))
+                d_word = by(w, p @ out.T, row_of, len(number), share) * inverse
+                d_vec = by(flat, d_word, word_of, len(own))
+                d_out, d_bias = hidden.T @ p, p.sum(0)
+                g_vec = 0.9 * g_vec + (d_vec**2).mean(1, keepdims=True)
+                vec -= rate * d_vec / np.sqrt(g_vec + 1e-10)
+                g_out += d_out**2
+                out -= rate * d_out / np.sqrt(g_out + 1e-10)
+                g_bias += d_bias**2
+                bias -= rate * d_bias / np.sqrt(g_bias + 1e-10)
         self.weight[own] = vec @ (out[:, 1] - out[:, 0])
-        self.bias = float(bias[1] - bias[0])
-        return self
+        self._list = None
+
+    def words(self, chunk: str) -> bytes:
+        """Weights of the words in a chunk, as 32-bit floats."""
+        if self._list is None:
+            self._list = self.weight.tolist()
+        of, out = self._list.__getitem__, []
+        for w in _WORD.findall(chunk.lower()):
+            own = subwords(w)
+            out.append(struct.pack("f", sum(map(of, own)) / len(own)))
+        return b"".join(out)
+
+    def margin(self, text: str | None, of=None) -> float:
+        """The largest mean weight of a passage's words; a shorter text is one passage, padded with zeros."""
+        of, best, last = of or self.words, -np.inf, np.zeros(0, np.float32)
+        for part in segments(text or ""):
+            x = np.concatenate([last, np.frombuffer(b"".join(map(of, chunks(part))), np.float32)])
+            if len(x) >= PASSAGE:
+                sums = np.convolve(x, np.ones(PASSAGE, np.float32), "valid") if PASSAGE > 2 else x[1:] + x[:-1]
+                best = max(best, float(sums.max()) / PASSAGE)
+                last = x[-(PASSAGE - 1) :]
+            else:
+                last = x
+        return best if best > -np.inf else float(last.sum()) / PASSAGE
+
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.bias, -500, 500)))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> SubwordSoftmax:
+    """A model of ``labels.toxic``, fitted on the driver to a bounded sample (see :func:`labelled_sample`)."""
+    texts, marks, _ = labelled_sample(docs, labels, "toxic", per_class, longest, id_col, text_col)
+    return SubwordSoftmax().fit(texts, marks)
+
+
+def score_toxicity(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, held_out, score (0 to 1), predicted (1 if the score is 0.5 or more).
+
+    The model is broadcast (half a megabyte whatever the corpus). Texts are scored whole; null
+    texts count as empty and score what no evidence scores. Null ids count as held out; they
+    and repeated rows stay. An empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        key = (model.weight.tobytes(), model.slope, model.bias)
+        if key not in _memos:
+            _memos.clear()
+            _memos[key] = Memo(model.words, limit=700_000, join=lambda a, b: a + b)
+        of = _memos[key].__getitem__
+        for b in batches:
+            score = model.score(np.array([model.margin(t, of) for t in b.column(1).to_pylist()], np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["id", "score"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = rows.mapInArrow(run, "id long, score double")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
