@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, simhash, tokens, toxicity
+from . import bpe, exact_dedup, langid, packing, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -34,6 +34,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.fit_language_model(docs), host_col="source")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on raw pages, which declare a language and have an address."""
+    model = langid.fit_language_model(table(spark, sf_dir, "documents"))
+    pages = langid.pages_evidence(table(spark, sf_dir, "pages"))
+    return langid.identify_languages(pages, model, id_col="page_id", host_col="host", markup_col="markup")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -43,7 +60,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_toxicity, op5_simhash, op9_token_counts, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_toxicity, op5_simhash, op7_quality, op8_language_id, page_languages, op9_token_counts, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
