@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, packing, quality, simhash, tokens, toxicity
+from . import ann, bpe, exact_dedup, langid, packing, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -60,7 +64,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_toxicity, op5_simhash, op7_quality, op8_language_id, page_languages, op9_token_counts, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_toxicity, op5_simhash, op6_nearest_vectors, op7_quality, op8_language_id, page_languages, op9_token_counts, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
