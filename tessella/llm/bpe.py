@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import LETTERS, Memo, byte_symbols, chunks, folds, ignores_space, load, plain_word, segments
+from .chunks import LETTERS, Memo, byte_symbols, chunks, folds, ignores_space, kept, load, plain_word, segments
 
 _NEVER = 1 << 60
 #: Windows of up to so many symbols are merged by scanning, longer ones with a heap.
@@ -263,12 +263,8 @@ class Codec:
         yield machine.end()
 
 
-_codecs: dict[str, tuple[Codec, Memo]] = {}
-
-
 def _codec(path: str) -> tuple[Codec, Memo]:
-    if path not in _codecs:
-        _codecs.clear()
+    def make() -> tuple[Codec, Memo]:
         codec = Codec(path, cached=400_000)
 
         def both(chunk: str) -> tuple[str, str]:
@@ -278,8 +274,9 @@ def _codec(path: str) -> tuple[Codec, Memo]:
         def join(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
             return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
 
-        _codecs[path] = codec, Memo(both, limit=600_000, join=join if folds(path) else None)
-    return _codecs[path]
+        return codec, Memo(both, limit=600_000, join=join if folds(path) else None)
+
+    return kept(("bpe", path), make)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

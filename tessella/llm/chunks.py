@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -85,6 +88,24 @@ def fold(chunk: str) -> tuple[str, str]:
     return chunk.lower(), ""
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one thing at a time.
+
+    Workers outlive the operators that use them, so what an earlier one has kept makes room
+    before the next fills its own.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def plain_word(chunk: str) -> bool:
     """Whether a chunk is one word of plain lower-case letters, which normalisation and the cut leave as it is."""
     return chunk.isalpha() and chunk.islower() and _PLAIN.fullmatch(chunk) is not None

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, segments
+from .chunks import Memo, chunks, kept, segments
 from .common import cut, fresh, narrow
 
 #: Labelled rows of each language that the text model is fitted on, at most (in expectation).
@@ -31,7 +31,6 @@ SUFFIXES = {
     "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en", "ar": "es", "au": "en", "ie": "en",
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_memos: dict = {}
 
 
 class TrigramBayes:
@@ -146,12 +145,8 @@ def identify_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        key = (len(model.row), model.logs.tobytes())
-        if key not in _memos:
-            _memos.clear()
-            # a mark adds no words; sums over a word and a mark are the word's
-            _memos[key] = Memo(model.words, limit=700_000)
-        of = _memos[key].__getitem__
+        # every chunk counts its own words, so nothing is joined from a word and a mark
+        of = kept(("language", len(model.row), model.logs.tobytes()), lambda: Memo(model.words, limit=700_000)).__getitem__
         for b in batches:
             found = [model.likelihoods(t, of) for t in b.column(1).to_pylist()]
             logs = np.array([f[0] for f in found]).reshape(len(found), k)

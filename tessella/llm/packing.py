@@ -13,14 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, encoder, folds, ignores_space, load, segments
+from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
 from .common import cut
 
 #: Open bins of a task.
 OPEN = 256
 #: Bins left open by tasks that one task of the second round packs.
 ROUND = 16_384
-_memos: dict = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -69,13 +68,14 @@ class BestFit:
 
 def _encoder(path: str):
     """The tokenizer, and its memo of chunks' ids as bytes (None if it looks across white space)."""
-    if path not in _memos:
-        _memos.clear()
+
+    def make():
         tok = load(path)
         ids = encoder(path, tok)
         memo = Memo(lambda c: array("I", ids(c)).tobytes(), join=operator.add if folds(path) else None)
-        _memos[path] = tok, memo if ignores_space(tok) else None
-    return _memos[path]
+        return tok, memo if ignores_space(tok) else None
+
+    return kept(("packing", path), make)
 
 
 def encoded(text: str | None, path: str) -> bytes:

@@ -12,12 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, encoder, folds, ignores_space, load, segments
+from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
 FREQUENT = 32_768
 _FAN_IN = 16
-_memos: dict = {}
 
 
 def _top(counts: dict[str, int], size: int) -> tuple[list[str], list[int]]:
@@ -79,13 +78,12 @@ class _Lengths:
         self.path, self.words, self.n = path, " ".join(words).encode(), np.array(n, np.uint16).tobytes()
 
     def memo(self) -> Memo:
-        key = (self.path, len(self.words), hash(self.words))
-        if key not in _memos:
-            _memos.clear()
+        def make() -> Memo:
             ids = encoder(self.path, load(self.path))
             fixed = dict(zip(self.words.decode().split(" ") if self.words else [], np.frombuffer(self.n, np.uint16).tolist()))
-            _memos[key] = Memo(lambda c: len(ids(c)), fixed, join=operator.add if folds(self.path) else None)
-        return _memos[key]
+            return Memo(lambda c: len(ids(c)), fixed, join=operator.add if folds(self.path) else None)
+
+        return kept(("tokens", self.path, self.words), make)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
@@ -112,18 +110,17 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             shared = spark.sparkContext.broadcast(_Lengths(path, words, n))
 
     def whole(texts: list[str]) -> list[int]:
-        key = (path,)
-        if key not in _memos:
-            _memos.clear()
+        def make():
             if pieces:
                 import sentencepiece
 
                 model = sentencepiece.SentencePieceProcessor(model_file=path)
-                _memos[key] = lambda x: list(map(len, model.encode(x, num_threads=1)))
-            else:
-                model = load(path)
-                _memos[key] = lambda x: [len(e) for e in model.encode_batch_fast(x, add_special_tokens=False)]
-        return [n for k in range(0, len(texts), 64) for n in _memos[key](texts[k : k + 64])]
+                return lambda x: list(map(len, model.encode(x, num_threads=1)))
+            tok = load(path)
+            return lambda x: [len(e) for e in tok.encode_batch_fast(x, add_special_tokens=False)]
+
+        lengths = kept(("whole", path), make)
+        return [n for k in range(0, len(texts), 64) for n in lengths(texts[k : k + 64])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, segments
+from .chunks import Memo, chunks, kept, segments
 from .labelled import held_out, labelled_sample, platt
 
 #: Labelled rows of each class that a model is fitted on, at most (in expectation).
-PER_CLASS = 3072
+PER_CLASS = 2048
 #: Characters of a labelled text, at most, for it to be fitted on; any text is scored whole.
 LONGEST = 32_768
 #: Words of a passage.
@@ -33,7 +33,6 @@ BUCKETS, DIM = 1 << 17, 6
 #: Characters of an n-gram.
 _SIZES = (3, 4, 5)
 _WORD = re.compile(r"\w+")
-_memos: dict = {}
 
 
 def subwords(word: str) -> list[int]:
@@ -201,9 +200,6 @@ def drop_toxic(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", l
 
 
 def _scores(model: SubwordSoftmax, texts: list[str | None]) -> np.ndarray:
-    key = (model.weight.tobytes(), model.slope, model.bias)
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(model.words, limit=700_000, join=lambda a, b: a + b)
-    of = _memos[key].__getitem__
+    key = ("toxicity", model.weight.tobytes(), model.slope, model.bias)
+    of = kept(key, lambda: Memo(model.words, limit=700_000, join=lambda a, b: a + b)).__getitem__
     return model.score(np.array([model.margin(t, of) for t in texts], np.float64))
