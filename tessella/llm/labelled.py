@@ -12,10 +12,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
     """Texts and labels of a bounded sample that isn't held out, and the share of label 1 among all such rows.
 
-    In expectation at most ``per_class`` rows of each class, those with the smallest hash of
+    In expectation at most ``per_class`` rows of class 0 and of class 1, those with the smallest hash of
     their id, without texts of over ``longest`` characters. Rows with a null id or a label
     other than 0 or 1 are left out; of several labels for one id the largest counts, of
     several texts the least.
@@ -27,7 +27,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return [], [], 0.0
     limit = F.lit(None).cast("double")
     for k, n in counts.items():
-        limit = F.when(F.col("label") == k, float(min(1.0, per_class / n))).otherwise(limit)
+        limit = F.when(F.col("label") == k, float(min(1.0, per_class[k] / n))).otherwise(limit)
     chosen = own.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < limit * (1 << 30))
     # the sample is bounded by its parameter, so it may be broadcast
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .chunks import segments
 from .labelled import held_out, labelled_sample
 
-#: Labelled rows of each class that a model is fitted on, at most (in expectation).
-PER_CLASS = 4096
+#: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
+PER_CLASS = (4096, 4096)
 #: Characters of a labelled text, at most, for it to be fitted on; any text is scored whole.
 LONGEST = 65_536
 #: A text is kept (predicted 1) from this score on.
@@ -161,7 +161,7 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-out))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> BoostedTrees:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST) -> BoostedTrees:
     """A model of ``labels.quality``, fitted on the driver to a bounded sample weighted back to the classes' shares."""
     texts, marks, share = labelled_sample(docs, labels, "quality", per_class, longest, id_col, text_col)
     y = np.array(marks, np.int64)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .chunks import Memo, chunks, kept, segments
 from .labelled import held_out, labelled_sample, platt
 
-#: Labelled rows of each class that a model is fitted on, at most (in expectation).
-PER_CLASS = 2048
+#: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
+PER_CLASS = (4096, 2048)
 #: Characters of a labelled text, at most, for it to be fitted on; any text is scored whole.
 LONGEST = 32_768
 #: Words of a passage.
@@ -92,14 +92,16 @@ class SubwordSoftmax:
             own = subwords(w)
             flat.extend(own)
             size.append(len(own))
-        words, docs = np.array(words, np.int64), np.array(docs, np.int64)
+        words, docs = np.array(words, np.int32), np.array(docs, np.int32)
         counts, flat, size = np.array(counts, np.float32), np.array(flat, np.int32), np.array(size, np.int64)
         total = np.maximum(1, np.bincount(docs, counts, len(y)))
         share_of = (counts / total[docs]).astype(np.float32)
         seen = np.bincount(flat, np.repeat([df[k] for k in range(len(number))], size), BUCKETS)
-        learnt = seen[flat] >= least
-        word_of = np.repeat(np.arange(len(number), dtype=np.int32), size)[learnt]
+        learnt, kinds = seen[flat] >= least, len(number)
+        del number, df, counts, total
+        word_of = np.repeat(np.arange(kinds, dtype=np.int32), size)[learnt]
         own, flat = np.unique(flat[learnt], return_inverse=True)
+        flat = flat.astype(np.int32)
         inverse = (1 / size)[:, None].astype(np.float32)
         vec = rng.normal(0, 0.05, (len(own), DIM)).astype(np.float32)
         out = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -117,14 +119,14 @@ class SubwordSoftmax:
                 n = starts[rows + 1] - starts[rows]
                 at = np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 row_of, w, share = np.repeat(np.arange(len(rows)), n), words[at], share_of[at]
-                of_word = by(word_of, vec, flat, len(number)) * inverse
+                of_word = by(word_of, vec, flat, kinds) * inverse
                 hidden = by(row_of, of_word, w, len(rows), share)
                 z = hidden @ out + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(rows)), y[rows]] -= 1
                 p *= even[y[rows]][:, None] / max(1, len(rows))
-                d_word = by(w, p @ out.T, row_of, len(number), share) * inverse
+                d_word = by(w, p @ out.T, row_of, kinds, share) * inverse
                 d_vec = by(flat, d_word, word_of, len(own))
                 d_out, d_bias = hidden.T @ p, p.sum(0)
                 g_vec = 0.9 * g_vec + (d_vec**2).mean(1, keepdims=True)
@@ -163,7 +165,7 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.bias, -500, 500)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> SubwordSoftmax:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST) -> SubwordSoftmax:
     """A model of ``labels.toxic``, fitted on the driver to a bounded sample (see :func:`labelled_sample`)."""
     texts, marks, _ = labelled_sample(docs, labels, "toxic", per_class, longest, id_col, text_col)
     return SubwordSoftmax().fit(texts, marks)
