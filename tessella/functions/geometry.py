@@ -17,6 +17,8 @@ import zipfile
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 _SOURCE = os.path.join(os.path.dirname(__file__), "java", "tessella", "Geo.java")
 _POINTS = "array<struct<x:double,y:double>>"
 _RINGS = f"array<struct<part:int,ring:int,points:{_POINTS}>>"
@@ -68,6 +70,7 @@ def _jar(spark: SparkSession) -> str:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to a session; calling it again costs nothing."""
+    ship(spark)
     if spark.catalog.functionExists("tess_area"):
         return
     spark.sql(f"ADD JAR '{_jar(spark)}'")
