@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, ship
 
 #: Vectors that the index is fitted on, at most (in expectation).
 SAMPLE = 50_000
@@ -194,6 +194,7 @@ def nearest(
     lists) is searched in parts, and the queries of a list are dealt out likewise, so that no
     task holds an unbounded group; parts return their k best, which are merged by query.
     """
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     mark = F.expr(is_query) if isinstance(is_query, str) else is_query
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(mark, F.lit(False)).alias("q"))

@@ -1,31 +1,16 @@
-"""What the operators of this subpackage share: tables, lineage cuts, A-Z lower-casing."""
+"""What the operators of this subpackage share: tables and lineage cuts, A-Z lower-casing, names."""
 
 from __future__ import annotations
 
 import string
-import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import cut, ship, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that nor a
-    context-wide folder is set (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "fresh", "lower_az", "narrow", "ship", "table"]
 
 
 def lower_az(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, kept, segments
-from .common import cut, fresh, narrow
+from .common import cut, fresh, narrow, ship
 
 #: Labelled rows of each language that the text model is fitted on, at most (in expectation).
 PER_LANGUAGE = 1024
@@ -141,6 +141,7 @@ def identify_languages(
     """
     spark, names = docs.sparkSession, model.languages
     k = len(names)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

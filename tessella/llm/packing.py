@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
-from .common import cut
+from .common import cut, ship
 
 #: Open bins of a task.
-OPEN = 256
+OPEN = 4096
 #: Bins left open by tasks that one task of the second round packs.
 ROUND = 16_384
 assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -140,6 +140,7 @@ def pack(
             held = [r for r in held if r[6] in still]
         yield rows(held, True)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     placed = cut(rows.mapInArrow(run, _PIECES))
     return _again(placed, size, open_bins, round_bins).withColumnRenamed("id", id_col)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import segments
+from .common import ship
 from .labelled import held_out, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
@@ -178,6 +179,7 @@ def score_quality(docs: DataFrame, model: BoostedTrees, threshold: float = THRES
     count as empty. Null ids count as held out; they and repeated rows stay. An empty table
     gives no rows.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

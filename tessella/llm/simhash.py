@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from tessella.operators.components import components
+
+from .common import cut, ship
 
 SEED = 42
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
@@ -64,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
@@ -194,14 +196,17 @@ def shard_links(fps: np.ndarray, ids: np.ndarray, guest: np.ndarray, reach: int,
 def hamming_links(points: DataFrame, reach: int = 2, shard: int = 8192, sample: int = 1 << 16) -> DataFrame:
     """Edges (a, b) that join exactly the ``points`` (fp, rep; fp unique) whose distances chain within ``reach``.
 
-    The tree is fitted to a bounded sample of at most ``sample`` fingerprints (those with the
-    smallest hash), which decides only how rows are dealt to tasks; every point is dealt and
+    The tree is fitted to a sample of ``sample`` fingerprints in expectation (those with the
+    smallest hashes), which decides only how rows are dealt to tasks; every point is dealt and
     every pair within reach is compared in exactly one shard. A shard emits a spanning forest
     of its links, at most one edge for each of its rows.
     """
     population = points.count()
-    seen = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()]
-    tree = VantageTree(np.array(seen, np.int64).view(np.uint64), population, shard, reach)
+    share = min(1.0, sample / max(1, population))
+    chosen = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share * (1 << 30))
+    seen = sorted(r[0] for r in chosen.collect())
+    mixed = np.random.default_rng(0).permutation(np.array(seen, np.int64))
+    tree = VantageTree(mixed.view(np.uint64), population, shard, reach)
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast(tree)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
+from .common import ship
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
 FREQUENT = 32_768
@@ -99,6 +100,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null texts count as empty: 0 bytes, 0 tokens. Null ids and repeated rows stay as they are;
     an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     pieces = path.endswith(".model")
     shared = None

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, kept, segments
+from .common import ship
 from .labelled import held_out, labelled_sample, platt
 
 #: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
@@ -178,6 +179,7 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id
     texts count as empty and score what no evidence scores. Null ids count as held out; they
     and repeated rows stay. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +193,7 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id
 
 def drop_toxic(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``limit``, with all their columns, in one pass without a shuffle."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 #: Response headers that a 304 must not change: what belongs to the connection, and what describes the stored body (fixed values).
 KEPT_FROM_ORIGINAL = (
@@ -90,6 +90,7 @@ def resolve_revisits(records: DataFrame, partitions: int | None = None) -> DataF
     Null or empty URLs match nothing. A null time comes before all others, and null ids before
     others of the same time; repeated rows stay. Null headers count as none. An empty table gives no rows.
     """
+    ship(records.sparkSession)
     spark = records.sparkSession
     entries = F.expr("transform(map_entries(coalesce(headers, map())), e -> struct(lower(trim(e.key)) as key, e.value as value))")
     rows = records.select(
