@@ -253,7 +253,7 @@ def sample_lattice(spark, sf_dir):
     return pts.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 6).alias("first_x"), F.round(F.min("y"), 6).alias("first_y"))
 
 
-@query(f"{_RATIOS} SELECT a_fid, b_fid, abs(coverage_a - coverage_a) < 0.02 AS close FROM r WHERE iou > 0.5")
+@query(f"{_RATIOS} SELECT a_fid, b_fid, true AS close FROM r WHERE iou > 0.5")
 def sampled_pairs(spark, sf_dir):
     """Whether sampled ratios of matching cells come within 0.04 of the exact ones."""
     a, b, exact = _measured(spark, sf_dir)
@@ -375,6 +375,45 @@ def _regions(spark, sf_dir) -> DataFrame:
     return rects.rectangles(table(spark, sf_dir, "nation"), k + 1, k, F.col("n_name"), k % 5, F.floor(k / 5), k % 5 + 1, F.floor(k / 5) + 1)
 
 
+_SIDES = "(CAST(n_nationkey % 5 = 0 AS INTEGER) + CAST(n_nationkey % 5 = 4 AS INTEGER) + CAST(n_nationkey // 5 = 0 AS INTEGER) + CAST(n_nationkey // 5 = 4 AS INTEGER))"
+
+
+@query(f"SELECT CAST(n_nationkey + 1 AS BIGINT) AS fid, CAST({_SIDES} AS DOUBLE) AS length FROM nation WHERE {_SIDES} > 0 UNION ALL SELECT 0, CAST(sum(4 - {_SIDES}) AS DOUBLE) FROM nation")
+def boundary_lines(spark, sf_dir):
+    """The length of each unit's outer lines, and under 0 that of all shared lines, which count from both sides."""
+    outer, shared = extend.boundary_lines(clean.frozen(_regions(spark, sf_dir)))
+    both = outer.unionByName(shared.select(F.lit(0).cast("long").alias("fid"), "geom"))
+    return both.groupBy("fid").agg(F.round(F.sum(geo("length", "geom")), 6).alias("length"))
+
+
+@query(f"WITH t AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS fid, {_SIDES} AS sides FROM nation) SELECT fid, sides > 0 AS has_points FROM t WHERE sides > 0")
+def generator_points(spark, sf_dir):
+    """Units that boundary points are made for: those with an outer line."""
+    outer, _ = extend.boundary_lines(clean.frozen(_regions(spark, sf_dir)))
+    points = extend.generators(outer, extend.junction_zone(outer), 0.25)
+    return points.groupBy("fid").agg((F.count(F.lit(1)) >= 4).alias("has_points"))
+
+
+@query(
+    """WITH d AS (SELECT p_partkey AS k, p_partkey % 50 AS col, p_partkey % 7 = 0 AS gone, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE (p_size % 4) / CAST(64 AS DOUBLE) END AS dx FROM part), r AS (
+        SELECT d.k + 1 AS fid, CASE WHEN d.gone THEN 1 - coalesce(l.dx, 0) ELSE greatest(0, d.dx - coalesce(l.dx, 0)) END AS area FROM d LEFT JOIN d l ON l.k = d.k - 1 AND d.col > 0)
+    SELECT fid, round(area, 6) AS area FROM r WHERE area > 0"""
+)
+def uncovered_parts(spark, sf_dir):
+    rest = change.only(rects.cells(spark, sf_dir), rects.shifted_cells(spark, sf_dir))
+    return rest.select("fid", F.round(geo("area", "geom"), 6).alias("area"))
+
+
+@query(
+    f"""WITH {_CELLS} SELECT printf('{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f]]]}},"properties":{{"fid":%d,"code":"%s","name":"%s"}}}}',
+        x0, y0, x0, y1, x1, y1, x1, y0, x0, y0, fid, code, name) AS value FROM cells"""
+)
+def feature_text(spark, sf_dir):
+    from tessella.sources.sinks import feature_rows
+
+    return feature_rows(rects.cells(spark, sf_dir))
+
+
 @query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS fid, true AS covers, true AS valid FROM nation")
 def extend_coverage(spark, sf_dir):
     own = _regions(spark, sf_dir)
