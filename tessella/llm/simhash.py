@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.components import components
 
-from .common import cut, ship
+from .common import cut, fresh, ship
 
 SEED = 42
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
@@ -255,5 +255,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id have no group and stay. Of rows that repeat an id all stay.
     """
     names = simhash_components(docs, id_col, text_col, **options)
-    gone = names.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    (mark,) = fresh(docs, "gone_id")
+    gone = names.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias(mark)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(mark), "left_anti")
