@@ -157,52 +157,64 @@ class _Forest:
             self._flat()
 
 
-def shard_links(fps: np.ndarray, ids: np.ndarray, guest: np.ndarray, reach: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, ids: np.ndarray, guest: np.ndarray, reach: int, small: int = 2048, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links that a shard holds, as (id, smallest id) stars.
 
-    Inside the shard, distances to one more vantage point leave only pairs whose distances
-    differ by at most ``reach``; those are compared in blocks.
+    The tree goes on inside the shard: a group of more than ``small`` residents is split at the
+    median distance to one of them, with the same guests across the boundary, until it is small
+    or cannot be split. What is left is compared in blocks, and there too only where distances
+    to one more vantage point differ by at most ``reach``.
     """
     order = np.argsort(ids, kind="stable")
     fps, ids, guest = fps[order], ids[order], guest[order]
     forest = _Forest(len(ids))
-    if len(ids) > 1:
-        home = np.flatnonzero(~guest)
-        if len(home):
-            pivot = fps[home[0]]
-            d = distance(fps, pivot)
-            by = home[np.argsort(d[home], kind="stable")]
-            dist = d[by].astype(np.int64)
-            hf = fps[by]
-            for start in range(0, len(by), block):
-                stop = min(start + block, len(by))
-                to = int(np.searchsorted(dist, dist[stop - 1] + reach, side="right"))
-                i, j = np.nonzero(np.bitwise_count(hf[start:stop, None] ^ hf[None, start:to]) <= reach)
-                keep = j > i
-                forest.link(by[start + i[keep]], by[start + j[keep]])
-            g = np.flatnonzero(guest)
-            g = g[np.argsort(d[g], kind="stable")]
-            gd = d[g].astype(np.int64)
-            for start in range(0, len(g), block):
-                stop = min(start + block, len(g))
-                lo = int(np.searchsorted(dist, gd[start] - reach, side="left"))
-                to = int(np.searchsorted(dist, gd[stop - 1] + reach, side="right"))
-                i, j = np.nonzero(np.bitwise_count(fps[g[start:stop], None] ^ hf[None, lo:to]) <= reach)
-                forest.link(g[start + i], by[lo + j])
+    todo = [(np.flatnonzero(~guest), np.flatnonzero(guest))]
+    while todo:
+        home, visit = todo.pop()
+        if len(home) + len(visit) < 2 or not len(home):
+            continue
+        d, e = (distance(fps[x], fps[home[len(home) // 2]]).astype(np.int64) for x in (home, visit))
+        r = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+        inside, near = d <= r, d > r - reach
+        if len(home) > small and 0 < inside.sum() < 0.9 * len(home):
+            todo.append((home[inside], visit[e <= r + reach]))
+            todo.append((home[~inside], np.concatenate([home[inside & near], visit[e > r - reach]])))
+        else:
+            _compare(forest, fps, home, d, visit, e, reach, block)
     moved = np.flatnonzero(forest.up != np.arange(len(ids)))
     return ids[moved], ids[forest.up[moved]]
 
 
-def hamming_links(points: DataFrame, reach: int = 2, shard: int = 8192, sample: int = 1 << 16) -> DataFrame:
+def _compare(forest: _Forest, fps: np.ndarray, home: np.ndarray, d: np.ndarray, visit: np.ndarray, e: np.ndarray, reach: int, block: int) -> None:
+    order = np.argsort(d, kind="stable")
+    home, d = home[order], d[order]
+    order = np.argsort(e, kind="stable")
+    visit, e = visit[order], e[order]
+    own = fps[home]
+    for start in range(0, len(home), block):
+        stop = min(start + block, len(home))
+        to = int(np.searchsorted(d, d[stop - 1] + reach, side="right"))
+        i, j = np.nonzero(distance(own[start:stop, None], own[None, start:to]) <= reach)
+        later = j > i
+        forest.link(home[start + i[later]], home[start + j[later]])
+    for start in range(0, len(visit), block):
+        stop = min(start + block, len(visit))
+        lo, to = int(np.searchsorted(d, e[start] - reach, side="left")), int(np.searchsorted(d, e[stop - 1] + reach, side="right"))
+        i, j = np.nonzero(distance(fps[visit[start:stop], None], own[None, lo:to]) <= reach)
+        forest.link(visit[start + i], home[lo + j])
+
+
+def hamming_links(points: DataFrame, reach: int = 2, shard: int = 8192, most: int = 1 << 21) -> DataFrame:
     """Edges (a, b) that join exactly the ``points`` (fp, rep; fp unique) whose distances chain within ``reach``.
 
-    The tree is fitted to a sample of ``sample`` fingerprints in expectation (those with the
-    smallest hashes), which decides only how rows are dealt to tasks; every point is dealt and
+    The tree is fitted to a sample of the fingerprints (those with the smallest hashes): 16 for
+    each shard, 4,096 at least and ``most`` at most, and never more than half of them, in
+    expectation. It decides only how rows are dealt to tasks; every point is dealt and
     every pair within reach is compared in exactly one shard. A shard emits a spanning forest
     of its links, at most one edge for each of its rows.
     """
     population = points.count()
-    share = min(1.0, sample / max(1, population))
+    share = min(0.5, min(most, max(4096, 16 * population // shard)) / max(1, population))
     chosen = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share * (1 << 30))
     seen = sorted(r[0] for r in chosen.collect())
     mixed = np.random.default_rng(0).permutation(np.array(seen, np.int64))

@@ -1,12 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
 from tessella.operators.components import components
 from tessella.llm.exact_dedup import exact_dedup, exact_groups
-from tessella.llm.simhash import fingerprint, near_dedup, simhash_components
+from tessella.llm.simhash import VantageTree, fingerprint, near_dedup, shard_links, simhash_components
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -102,6 +103,40 @@ def test_simhash_components_match_brute_force(spark):
     assert got.count() == len(rows) - 1
 
 
+def test_shards_find_every_link():
+    """The tree and what goes on in its shards, against all pairs."""
+    rng = np.random.default_rng(2)
+    far = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1500, dtype=np.uint64)
+    centre = far[:6]
+    tight = centre[rng.integers(6, size=1500)]
+    for _ in range(4):
+        tight = tight ^ (np.uint64(1) << rng.integers(0, 14, 1500, dtype=np.uint64))
+    fps = np.unique(np.concatenate([far, tight]))
+    ids = rng.permutation(len(fps)) + 5
+    for reach in (1, 2, 4):
+        tree = VantageTree(rng.permutation(fps)[:800], len(fps), 300, reach)
+        assert tree.shards > 3
+        rows, shard, guest = tree.route(fps)
+        edges = []
+        for s in range(tree.shards):
+            at = shard == s
+            edges += zip(*(x.tolist() for x in shard_links(fps[rows[at]], ids[rows[at]], guest[at], reach, small=40, block=16)))
+        assert sorted(zip(rows[~guest].tolist())) == [(i,) for i in range(len(fps))]
+        up = {i: i for i in ids.tolist()}
+
+        def root(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        got = {i: root(i) for i in up}
+        assert got == brute_components(dict(zip(ids.tolist(), map(int, fps))), reach)
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup(make(spark, [])).count() == 0
     rows = [(None, "a", "k", 1), (1, "same text here now", "k", 1), (2, "same text here now", None, 1), (4, None, "k", 1), (5, "", "k", 1)]
