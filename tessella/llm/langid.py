@@ -121,7 +121,7 @@ def identify_languages(
     text_col: str = "text",
     host_col: str | None = None,
     markup_col: str | None = None,
-    least: float = 0.5,
+    least: float = 0.3,
     key_text: bool = False,
 ) -> DataFrame:
     """One row per document: id, language, posterior, text_language, n_words, accepted.
@@ -134,7 +134,8 @@ def identify_languages(
       grouped aggregation and smoothed with its domain's, which is smoothed with all
       documents'. The document's own share is taken out on both levels.
 
-    A row is accepted if its language isn't ``und`` and its posterior reaches ``least``.
+    A row is accepted if its language isn't ``und`` and its posterior reaches ``least``; texts
+    in two languages, whose posterior is divided, pass at the default.
     Evidence that is null or empty says nothing: a null or empty text is decided by the rest.
     Null ids and repeated rows stay; an empty table gives no rows. A host with a third of all
     rows meets its aggregate in a join that adaptive execution splits; texts don't move.
@@ -204,7 +205,7 @@ def identify_languages(
     return out.withColumn("accepted", (F.col("language") != UNDETERMINED) & (F.col("posterior") >= least))
 
 
-def keep_identified(docs: DataFrame, model: TrigramBayes, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, markup_col: str | None = None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: TrigramBayes, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, markup_col: str | None = None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns.
 
     Rows are told apart by id and text, so a null id is no obstacle.
