@@ -183,9 +183,12 @@ def claims(marked: DataFrame, options: ChangeOptions) -> DataFrame:
     good = marked.where("identity").join(lone_b, "a_fid", "left_anti").join(lone_a, "b_fid", "left_anti").select("a_fid", "b_fid")
     if not (options.by_code and options.by_name and options.link == "either"):
         return good
-    good = cut(good)
-    found = components(good.select(F.col("a_fid").alias("a"), (F.col("b_fid") + _B).alias("b"))).withColumnRenamed("node", "a_fid")
-    dealt = good.join(found, "a_fid")
+    for n in "ab":
+        good = good.join(good.groupBy(f"{n}_fid").agg(F.count(F.lit(1)).alias(f"_{n}")), f"{n}_fid")
+    good = cut(good.select("a_fid", "b_fid", ((F.col("_a") > 1) | (F.col("_b") > 1)).alias("tangled")))
+    clear, tangled = good.where("not tangled").select("a_fid", "b_fid"), good.where("tangled").select("a_fid", "b_fid")
+    found = components(tangled.select(F.col("a_fid").alias("a"), (F.col("b_fid") + _B).alias("b"))).withColumnRenamed("node", "a_fid")
+    dealt = tangled.join(found, "a_fid")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, out = set(), set(), []
@@ -196,7 +199,7 @@ def claims(marked: DataFrame, options: ChangeOptions) -> DataFrame:
                 out.append((p, q))
         return pd.DataFrame(out, columns=["a_fid", "b_fid"])
 
-    return dealt.select("a_fid", "b_fid", "component").groupBy("component").applyInPandas(greedy, "a_fid long, b_fid long")
+    return clear.unionByName(dealt.select("a_fid", "b_fid", "component").groupBy("component").applyInPandas(greedy, "a_fid long, b_fid long"))
 
 
 @dataclass
