@@ -71,6 +71,16 @@ def test_relocated_and_renamed(spark):
     assert (1, "unchanged") in classes(change.classify(a, same, change.exact_pairs(a, same), change.matching_mode("geometry", True, True)))
 
 
+def test_complex_clusters_and_codes_that_repeat(spark):
+    a = boxes(spark, ([0, 0, 2, 1], [0, 1, 2, 2]), lambda i: "same")
+    b = boxes(spark, ([0, 0, 1, 2], [1, 0, 2, 2]), lambda i: "same")
+    pairs = change.exact_pairs(a, b)
+    assert classes(change.classify(a, b, pairs, ChangeOptions(match=0.4))) == {(1, "complex"): ([1, 2], [1, 2])}
+    assert change.identity_match(a, b, pairs, ChangeOptions(by_code=True)).where("identity").count() == 0
+    alone = classes(change.classify(a, b, pairs, ChangeOptions(match=0.9, by_code=True)))
+    assert sorted(k for _, k in alone) == ["created", "created", "removed", "removed"]
+
+
 def test_swap_mirrors_classes_and_identical_layers_are_unchanged(spark):
     a, b = matrix(spark)
     kinds = [sorted(k for _, k in classes(change.compare(x, y)[0])) for x, y in ((a, b), (b, a), (a, a))]
