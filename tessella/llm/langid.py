@@ -106,14 +106,6 @@ def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "d
     return TrigramBayes().fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def _log_sum(cols: list[Column]) -> Column:
-    top = F.greatest(*cols) if len(cols) > 1 else cols[0]
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + F.exp(c - top)
-    return top + F.log(total)
-
-
 def identify_languages(
     docs: DataFrame,
     model: TrigramBayes,
@@ -152,8 +144,13 @@ def identify_languages(
         for b in batches:
             found = [model.likelihoods(t, of) for t in b.column(1).to_pylist()]
             logs = np.array([f[0] for f in found]).reshape(len(found), k)
+            share = np.exp(logs - logs.max(1, keepdims=True, initial=-np.inf))
+            share /= share.sum(1, keepdims=True)
             cols = [b.column(i) for i in (0, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([f[1] for f in found], pa.int64()), *(pa.array(logs[:, j]) for j in range(k))], ["id", "host", "markup", "tag", "n_words", *(f"l{j}" for j in range(k))])
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array([f[1] for f in found], pa.int64()), *(pa.array(x[:, j]) for x in (logs, share) for j in range(k))],
+                ["id", "host", "markup", "tag", "n_words", *(f"{x}{j}" for x in "lp" for j in range(k))],
+            )
 
     def text_or_null(name: str | None) -> Column:
         return F.lower(F.trim(F.col(f"`{name}`").cast("string"))) if name else F.lit(None).cast("string")
@@ -165,9 +162,8 @@ def identify_languages(
         F.nullif(F.regexp_extract(text_or_null(markup_col), "^[a-z]+", 0), F.lit("")).alias("markup"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("tag"),
     )
-    seen = cut(rows.mapInArrow(run, "id long, host string, markup string, tag long, n_words long, " + ", ".join(f"l{j} double" for j in range(k))))
-    total = _log_sum([F.col(f"l{j}") for j in range(k)])
-    seen = seen.select("*", F.when(F.size(F.split("host", r"\.")) > 1, F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("domain"), *(F.exp(F.col(f"l{j}") - total).alias(f"p{j}") for j in range(k)))
+    seen = cut(rows.mapInArrow(run, "id long, host string, markup string, tag long, n_words long, " + ", ".join(f"{x}{j} double" for x in "lp" for j in range(k))))
+    seen = seen.select("*", F.when(F.size(F.split("host", r"\.")) > 1, F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("domain"))
     sums = [F.sum(f"p{j}") for j in range(k)]
     by_host = seen.where("host is not null").groupBy("host", "domain").agg(*(s.alias(f"h{j}") for j, s in enumerate(sums)), F.count(F.lit(1)).alias("hn"))
     by_host = cut(by_host)
@@ -193,11 +189,11 @@ def identify_languages(
     all_scores = F.array(*(F.col(f"s{j}") for j in range(k)))
     all_logs = F.array(*(F.col(f"l{j}") for j in range(k)))
     lookup = F.array(*(F.lit(x) for x in names))
-    best = F.array_position(all_scores, F.array_max(all_scores)).cast("int")
-    out = joined.select(
+    best = F.array_position(all_scores, F.col("top")).cast("int")
+    out = joined.withColumn("top", F.greatest(*(f"s{j}" for j in range(k))) if k > 1 else F.col("s0")).select(
         F.col("id").alias(id_col),
         F.element_at(lookup, best).alias("language"),
-        F.exp(F.array_max(all_scores) - _log_sum([F.col(f"s{j}") for j in range(k)])).alias("posterior"),
+        (1 / F.aggregate(all_scores, F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))).alias("posterior"),
         F.when(F.col("n_words") > 0, F.element_at(lookup, F.array_position(all_logs, F.array_max(all_logs)).cast("int"))).otherwise(F.lit(UNDETERMINED)).alias("text_language"),
         "n_words",
         *(["tag"] if key_text else []),
