@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import LETTERS, Memo, byte_symbols, chunks, folds, ignores_space, kept, load, plain_word, segments
+from .chunks import LETTERS, Memo, added_tokens, byte_symbols, chunks, folds, ignores_space, kept, load, plain_word, segments
 from .common import ship
 
 _NEVER = 1 << 60
@@ -275,7 +275,7 @@ def _codec(path: str) -> tuple[Codec, Memo]:
         def join(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
             return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
 
-        return codec, Memo(both, limit=600_000, join=join if folds(path) else None)
+        return codec, Memo(both, limit=600_000, join=join if folds(path) else None, added=added_tokens(path))
 
     return kept(("bpe", path), make)
 

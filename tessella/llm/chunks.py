@@ -76,12 +76,19 @@ def folds(path: str) -> bool:
     return any(p["type"] == "Lowercase" for p in parts) and bool(cuts) and cuts[0].get("pattern") == {"Regex": _WORDS_AND_MARKS} and cuts[0].get("invert") is True
 
 
-def fold(chunk: str) -> tuple[str, str]:
+def added_tokens(path: str) -> tuple[str, ...]:
+    """What the file's added tokens stand for, in lower case. The library looks for them before it lower-cases."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"].lower() for t in json.load(f).get("added_tokens") or [])
+
+
+def fold(chunk: str, added: tuple[str, ...] = ()) -> tuple[str, str]:
     """A chunk of plain letters as its lower case and the one mark that follows a word in it, if any.
 
     Plain are printable ASCII and the precomposed Latin letters whose lower case is one letter.
+    A chunk whose lower case has one of ``added`` in it stays as it is.
     """
-    if not _PLAIN.fullmatch(chunk):
+    if not _PLAIN.fullmatch(chunk) or (added and any(t in chunk.lower() for t in added)):
         return chunk, ""
     if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
         return chunk[:-1].lower(), chunk[-1]
@@ -141,13 +148,13 @@ class Memo(dict):
     """What a worker process keeps for chunks: a fixed part, and a rest that is dropped when it is full.
 
     ``compute`` gives the value of a chunk. With ``join``, the value of a chunk that folds into
-    a word and a mark is joined from theirs. Chunks of over ``longest`` characters are computed
-    each time, so memory stays bounded.
+    a word and a mark is joined from theirs, but for chunks with a token of ``added`` in any case.
+    Chunks of over ``longest`` characters are computed each time, so memory stays bounded.
     """
 
-    def __init__(self, compute: Callable[[str], Any], fixed: dict | None = None, limit: int = 1_000_000, longest: int = 48, join: Callable[[Any, Any], Any] | None = None):
+    def __init__(self, compute: Callable[[str], Any], fixed: dict | None = None, limit: int = 1_000_000, longest: int = 48, join: Callable[[Any, Any], Any] | None = None, added: tuple[str, ...] = ()):
         super().__init__(fixed or {})
-        self.compute, self.fixed, self.limit, self.longest, self.join = compute, fixed or {}, limit, longest, join
+        self.compute, self.fixed, self.limit, self.longest, self.join, self.added = compute, fixed or {}, limit, longest, join, added
 
     def __missing__(self, chunk: str):
         if len(chunk) > self.longest:
@@ -155,7 +162,7 @@ class Memo(dict):
         if self.join is None:
             value = self.compute(chunk)
         else:
-            word, mark = fold(chunk)
+            word, mark = fold(chunk, self.added)
             if word != chunk:
                 value = self[word]
                 if mark:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
+from .chunks import Memo, added_tokens, chunks, encoder, folds, ignores_space, kept, load, segments
 from .common import cut, ship
 
 #: Open bins of a task.
@@ -72,7 +72,7 @@ def _encoder(path: str):
     def make():
         tok = load(path)
         ids = encoder(path, tok)
-        memo = Memo(lambda c: array("I", ids(c)).tobytes(), join=operator.add if folds(path) else None)
+        memo = Memo(lambda c: array("I", ids(c)).tobytes(), join=operator.add if folds(path) else None, added=added_tokens(path))
         return tok, memo if ignores_space(tok) else None
 
     return kept(("packing", path), make)

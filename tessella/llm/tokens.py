@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks, encoder, folds, ignores_space, kept, load, segments
+from .chunks import Memo, added_tokens, chunks, encoder, folds, ignores_space, kept, load, segments
 from .common import ship
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
@@ -82,7 +82,7 @@ class _Lengths:
         def make() -> Memo:
             ids = encoder(self.path, load(self.path))
             fixed = dict(zip(self.words.decode().split(" ") if self.words else [], np.frombuffer(self.n, np.uint16).tolist()))
-            return Memo(lambda c: len(ids(c)), fixed, join=operator.add if folds(self.path) else None)
+            return Memo(lambda c: len(ids(c)), fixed, join=operator.add if folds(self.path) else None, added=added_tokens(self.path))
 
         return kept(("tokens", self.path, self.words), make)
 

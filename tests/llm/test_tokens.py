@@ -191,3 +191,16 @@ def test_pack(spark, library, open_bins):
     total = sum(r.length for r in rows)
     assert len(by_bin) <= (1.06 if open_bins == 256 else 1.4) * total / 512 + 2
     assert pack(make(spark, []), WORD).count() == 0
+
+
+def test_special_strings_in_other_cases_are_plain_text(spark, library):
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>b", "<|StartOfText|>.", "<|endoftext|><|ENDOFTEXT|>", "A<|endoftext|>B Word, x<|startoftext|>Y."]
+    counts = {r.doc_id: r.n_tokens for r in token_counts(make(spark, texts), WORD).collect()}
+    trips = {r.doc_id: r for r in round_trip(make(spark, texts), WORD).collect()}
+    pieces = {r.doc_id: r for r in pack(make(spark, texts + ["the " * 9000]).coalesce(1), WORD).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert counts[i] == trips[i].n_tokens == len(ids)
+        assert trips[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert trips[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert bytes(pieces[i].ids) == np.array([*ids, 1], "<u4").tobytes()
