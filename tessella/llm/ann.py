@@ -130,12 +130,13 @@ class CentroidGraph:
 class PostingIndex:
     """What is fitted on the driver: centroids, their graph, the dimension, and the search ratio."""
 
-    def __init__(self, sample: np.ndarray, population: int, per_list: int = LIST, recall: float = 0.98, k: int = 5, seed: int = 0):
+    def __init__(self, sample: np.ndarray, population: int, per_list: int = LIST, recall: float = 0.98, k: int = 5, seed: int = 0, ids: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         x = unit(sample)
         lists = int(max(1, min(LISTS, population // per_list, max(1, len(x) // 8))))
         self.graph = CentroidGraph(balanced_centroids(x, lists, rng))
-        self.ratio = self._calibrate(x, recall, k, rng)
+        # copies of an id are no neighbours of each other
+        self.ratio = self._calibrate(x if ids is None else x[np.unique(ids, return_index=True)[1]], recall, k, rng)
 
     def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = list(self.graph.within(x, REPLICA_RATIO, REPLICAS))
@@ -208,7 +209,7 @@ def nearest(
     chosen = rows if population <= sample else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * sample / population)
     seen = chosen.select("id", F.col("v").cast("array<float>").alias("v")).toArrow().sort_by("id")
     fitted = np.asarray(seen.column("v").combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
-    index = PostingIndex(fitted, population, per_list, recall, k)
+    index = PostingIndex(fitted, population, per_list, recall, k, ids=seen.column("id").to_numpy())
     # bounded: LISTS centroids and their links at most
     shared = spark.sparkContext.broadcast(index)
 
@@ -251,13 +252,15 @@ def nearest(
             q, p = (np.asarray(c.combine_chunks().flatten()).reshape(-1, dim) for c in (asks.column("q_v"), posts.column("p_v")))
             order = np.argsort(pi, kind="stable")
             pi, p = pi[order], p[order]
+            starts = np.flatnonzero(np.append(True, pi[1:] != pi[:-1]))
             q_len, p_len = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1))
             for at in range(0, len(qi), 256):
                 rough = (q[at : at + 256] @ p.T) / q_len[at : at + 256, None] / p_len
                 rough[qi[at : at + 256, None] == pi] = -np.inf
-                # ids that repeat take further places among the best, so a few more come along
-                want = min(k + 8, len(pi))
-                floor = np.partition(rough, len(pi) - want, axis=1)[:, len(pi) - want] - 1e-9
+                # the best row of each id counts, so that as many ids as wanted lie above the floor
+                each = np.maximum.reduceat(rough, starts, axis=1) if len(starts) < len(pi) else rough
+                want = min(k + 8, len(starts))
+                floor = np.partition(each, len(starts) - want, axis=1)[:, len(starts) - want] - 1e-9
                 for i in range(len(rough)):
                     near = np.flatnonzero((rough[i] >= floor[i]) & np.isfinite(rough[i]))
                     exact = (q[at + i] * p[near]).sum(1) / (q_len[at + i] * p_len[near])

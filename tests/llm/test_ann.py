@@ -59,6 +59,21 @@ def test_recall_and_exact_scores(spark, common):
     assert hits / (5 * len(want)) >= 0.95
 
 
+@pytest.mark.parametrize("copies", ["all four times", "one forty times"])
+def test_repeated_ids_leave_room_for_others(spark, copies):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 12)).astype(np.float32).astype(np.float64)
+    n = np.full(400, 4) if copies == "all four times" else np.where(np.arange(400) == 1, 40, 1)
+    x[1] = x[0] + 0.01
+    ids = np.arange(400).repeat(n)
+    got = {}
+    # one list in one part: everything is compared, so results are exact
+    for r in nearest(frame(spark, ids, x[ids]), "vec_id % 50 = 0", per_list=100_000).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(np.arange(400), x)
+    assert {q: [v for _, v in sorted(own)] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}
+
+
 def test_edges(spark):
     schema = "vec_id long, embedding array<float>, score double"
     nan, inf = float("nan"), float("inf")
