@@ -56,10 +56,13 @@ class TrigramBayes:
         self.row = {g: i for i, g in enumerate(grams)}
         self.languages = [*names, UNDETERMINED]
         kinds = len(grams) + 1
-        table = np.full((kinds, len(names) + 1), -np.log(max(20_000, 2 * kinds)), np.float64)
+        even = 1 / max(20_000, 2 * kinds)
+        table = np.full((kinds, len(names) + 1), np.log(even), np.float64)
         for j, k in enumerate(names):
             own = np.array([counts[k][g] for g in grams] + [0.0])
-            table[:, j] = np.log((own + smoothing) / (own.sum() + smoothing * kinds))
+            # with little text, less: what a language has never shown speaks for und before it
+            extra = min(smoothing, own.sum() * even / 2 / (1 - kinds * even / 2))
+            table[:, j] = np.log((own + extra) / (own.sum() + extra * kinds)) if extra else np.log(even / 2)
         self.logs = table.astype(np.float32)
         return self
 
@@ -88,19 +91,20 @@ class TrigramBayes:
 def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> TrigramBayes:
     """A text model fitted on the driver to a bounded sample of the rows that name their language.
 
-    Languages with less than a thousandth of the labelled rows are not fitted (labels that rare
-    are taken for slips), so at most 999 are. Without labels every text is undetermined.
+    Every language that a row names is fitted, however rare: each adds a few columns to the plan
+    and at most ``per_language`` rows to the sample. Without labels every text is undetermined.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     own = own.where("lang is not null and lang != '' and lang != 'und' and text is not null")
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(999).collect()}
-    total = sum(counts.values())
-    counts = {k: n for k, n in counts.items() if n * 1000 >= total}
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return TrigramBayes()
-    limit = F.lit(None).cast("double")
+    # one flat case; languages that aren't in it are taken whole
+    limit = F.when(F.lit(False), 1.0)
     for k, n in counts.items():
-        limit = F.when(F.col("lang") == k, float(min(1.0, per_language / n))).otherwise(limit)
+        if n > per_language:
+            limit = limit.when(F.col("lang") == k, per_language / n)
+    limit = limit.otherwise(1.0)
     chosen = own.where((F.length("text") <= longest) & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit * (1 << 30)))
     rows = chosen.select("lang", "text").orderBy("lang", "text").collect()
     return TrigramBayes().fit([r.text for r in rows], [r.lang for r in rows])

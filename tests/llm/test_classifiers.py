@@ -132,3 +132,22 @@ def test_pages_evidence(spark):
     a, b, c = pages_evidence(pages).orderBy("page_id").collect()
     assert (a.host, a.markup, a.text.split()) == ("www.x.de", "de-AT", ["Der", "Hund"])
     assert (b.host, b.markup, b.text) == (None, None, "") and (c.host, c.text) == (None, "plain")
+
+
+FI = "ja on ei se että hän oli mutta joka niin kun minä sinä myös vain kuin nyt sitten olla tämä".split()
+
+
+def test_rare_languages_are_kept_and_slips_take_nothing(spark):
+    rng = random.Random(12)
+    rows = [(i, lines(rng, (EN, DE)[i % 2], rng.randint(8, 30)), ("en", "de")[i % 2], "s") for i in range(3997)]
+    rows += [(5000, lines(rng, FI, 30), "fi", "s"), (5001, lines(rng, FI, 25), "fi", "s"), (5002, lines(rng, EN, 12), "xx", "s"), (5003, "12 34", "yy", "s")]
+    rows += [(5004, "zxqj wvkq xxzq qqzx kqwv jzxq vvkz", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = fit_language_model(docs)
+    assert model.languages == ["de", "en", "fi", "xx", "yy", "und"]
+    got = {r.doc_id: r for r in identify_languages(docs, model, host_col="source").collect()}
+    # 2 of 4,001 labelled rows are 0.05 %
+    assert all(got[i].language == "fi" and got[i].accepted for i in (5000, 5001))
+    assert {5000, 5001} <= {r.doc_id for r in keep_identified(docs, model, host_col="source").collect()}
+    assert all(got[i].language == k and got[i].accepted for i, _, k, _ in rows[:3997])
+    assert got[5003].language in ("en", "de") and got[5004].language == "und"  # no words: the host decides
