@@ -36,3 +36,18 @@ def test_query_gives_what_its_sql_gives(spark, tables, name):
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_point_gets_its_nearest_corner(spark, tables):
+    parts = [p for (p,) in tables.execute("SELECT p_partkey FROM part").fetchall()]
+    corners = {(p % 50, p // 50): p + 1 for p in parts}
+    points = tables.execute("SELECT event_id, user_id % 50 + (event_id % 31 + 1) / 64.0, (event_id // 50) % 45 + (event_id % 29 + 1) / 64.0 FROM events").fetchall()
+    want = {}
+    for fid, x, y in points:
+        # no two corners are within half a unit of one point
+        at = (round(float(x)), round(float(y)))
+        if at in corners and (float(x) - at[0]) ** 2 + (float(y) - at[1]) ** 2 < 0.25:
+            want[fid] = corners[at]
+    rows = QUERIES["nearest_corner_all"](spark, SF).collect()
+    assert len(rows) == len(want) and {r.fid: r.corner for r in rows} == want
+    assert any(f % 5 for f in want)
