@@ -343,6 +343,13 @@ def vertex_delete(spark, sf_dir):
     return edited.select("fid", (geo("count_of", "geom", F.lit("points")) - 1).alias("corners"))
 
 
+@query()
+def vertex_delete_all(spark, sf_dir):
+    """The same on the whole layer: the box also takes corners of the second row, and all units come back; a plain computation checks it in the tests."""
+    edited, _ = clean.delete_vertices(rects.wide_cells(spark, sf_dir), (0.9, 0.9, 5.1, 1.1))
+    return edited.select("fid", (geo("count_of", "geom", F.lit("points")) - 1).alias("corners"))
+
+
 @query(f"WITH {_CELLS} SELECT fid, round((x1 - x0) * (y1 - y0), 6) AS area, CAST(5 AS INTEGER) AS points, true AS same FROM cells")
 def ring_rebuild(spark, sf_dir):
     cells = rects.cells(spark, sf_dir).select("fid", "geom", geo("from_rings", geo("rings", "geom")).alias("again"))

@@ -51,3 +51,17 @@ def test_every_point_gets_its_nearest_corner(spark, tables):
     rows = QUERIES["nearest_corner_all"](spark, SF).collect()
     assert len(rows) == len(want) and {r.fid: r.corner for r in rows} == want
     assert any(f % 5 for f in want)
+
+
+def test_vertices_are_deleted_in_the_whole_layer(spark):
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.01"
+    want = {}
+    for k in pq.read_table(f"{folder}/supplier.parquet", columns=["s_suppkey"]).column(0).to_pylist():
+        corners = [(x, y) for x in (k % 20, k % 20 + 1 + (k % 3) / 64) for y in (k // 20, k // 20 + 1)]
+        left = [c for c in corners if not (0.9 <= c[0] <= 5.1 and 0.9 <= c[1] <= 1.1)]
+        want[k + 1] = len(left) if len(left) >= 3 else 4  # a unit that would vanish stays
+    assert any(n == 3 for f, n in want.items() if f > 20)
+    rows = QUERIES["vertex_delete_all"](spark, folder).collect()
+    assert len(rows) == len(want) and {r.fid: r.corners for r in rows} == want
