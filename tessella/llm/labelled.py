@@ -12,28 +12,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """Texts and labels of a bounded sample that isn't held out, and the share of label 1 among all such rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """(id, label, text) of a bounded sample that isn't held out, and the share of label 1 among all such rows.
 
     In expectation at most ``per_class`` rows of class 0 and of class 1, those with the smallest hash of
-    their id, without texts of over ``longest`` characters. Rows with a null id or a label
-    other than 0 or 1 are left out; of several labels for one id the largest counts, of
-    several texts the least.
+    their id, with their whole texts. Rows with a null id or a label other than 0 or 1 are left
+    out; of several labels for one id the largest counts, of several texts the least. Texts stay
+    in the tasks: models are fitted to what tasks make of them.
     """
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return [], [], 0.0
+        return docs.sparkSession.createDataFrame([], "id long, label int, text string"), 0.0
     limit = F.lit(None).cast("double")
     for k, n in counts.items():
         limit = F.when(F.col("label") == k, float(min(1.0, per_class[k] / n))).otherwise(limit)
     chosen = own.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < limit * (1 << 30))
     # the sample is bounded by its parameter, so it may be broadcast
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.where(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return [r.text for r in rows], [r.label for r in rows], counts.get(1, 0) / sum(counts.values())
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return rows, counts.get(1, 0) / sum(counts.values())
 
 
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -6,6 +6,7 @@ arrays, so that scoring is a few gathers for all rows and trees at once.
 
 from __future__ import annotations
 
+import hashlib
 import operator
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from .labelled import held_out, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
 PER_CLASS = (4096, 4096)
-#: Characters of a labelled text, at most, for it to be fitted on; any text is scored whole.
-LONGEST = 65_536
+#: Lines of over so many characters are told apart by their digest, so that a line of any length is one line in bounded memory.
+LINE = 4096
 #: A text is kept (predicted 1) from this score on.
 THRESHOLD = 0.3
 
@@ -49,23 +50,52 @@ STATISTICS = (
 )
 
 
+class _Lines:
+    """Lines that aren't empty, counted as they come in parts: a line that goes on in the next part stays open."""
+
+    def __init__(self):
+        self.count, self.seen = 0, set()
+        self.head, self.size, self.digest = "", 0, None
+
+    def feed(self, text: str) -> None:
+        first, *rest = text.split("\n")
+        self._open(first)
+        for line in rest:
+            self.close()
+            self._open(line)
+
+    def _open(self, part: str) -> None:
+        self.size += len(part)
+        if self.size <= LINE:
+            self.head += part
+        else:
+            if self.digest is None:
+                self.digest = hashlib.blake2b(self.head.encode("utf-8", "surrogatepass"), digest_size=16)
+                self.head = ""
+            self.digest.update(part.encode("utf-8", "surrogatepass"))
+
+    def close(self) -> None:
+        if self.size:
+            self.count += 1
+            self.seen.add(self.head if self.digest is None else (self.size, self.digest.digest()))
+        self.head, self.size, self.digest = "", 0, None
+
+
 def statistics(text: str | None) -> list[float]:
-    """The document statistics of a whole text; null counts as empty."""
+    """The document statistics of a whole text; null counts as empty. Texts are read in segments, which no statistic depends on."""
     kinds = np.zeros(len(_CLASSES), np.int64)
-    size = n = repeats = caps = longest = lines = 0
+    size = n = repeats = caps = longest = 0
     total = squares = 0.0
     words_seen: set = set()
     pairs_seen: set = set()
-    lines_seen: set = set()
+    own_lines = _Lines()
     last = None
     for part in segments(text or ""):
         data = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
         size += len(data)
         kinds += np.bincount(_CLASS[data], minlength=len(_CLASSES))
         words = part.split()
-        own = [x for x in part.split("\n") if x]
-        lines += len(own)
-        lines_seen.update(own)
+        own_lines.feed(part)
         if not words:
             continue
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -80,6 +110,8 @@ def statistics(text: str | None) -> list[float]:
         codes = np.fromiter(map(hash, chain), np.int64, len(chain))
         pairs_seen.update((codes[1:] * 31 + codes[:-1]).tolist())
         last = words[-1]
+    own_lines.close()
+    lines, lines_seen = own_lines.count, own_lines.seen
     b, w, ln = max(1, size), max(1, n), max(1, lines)
     mean = total / w
     shares = (kinds / b).tolist()
@@ -162,11 +194,22 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-out))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST) -> BoostedTrees:
-    """A model of ``labels.quality``, fitted on the driver to a bounded sample weighted back to the classes' shares."""
-    texts, marks, share = labelled_sample(docs, labels, "quality", per_class, longest, id_col, text_col)
-    y = np.array(marks, np.int64)
-    x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = PER_CLASS) -> BoostedTrees:
+    """A model of ``labels.quality``, fitted on the driver to a bounded sample weighted back to the classes' shares.
+
+    Tasks compute the statistics of the sample's whole texts; only those reach the driver. Null
+    labels and ids, repeated rows and empty tables are as in :func:`labelled_sample`.
+    """
+    ship(docs.sparkSession)
+    sample, share = labelled_sample(docs, labels, "quality", per_class, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    seen = sample.mapInArrow(run, "id long, label int, x array<double>").toArrow().sort_by("id")
+    y = seen.column("label").to_numpy().astype(np.int64)
+    x = np.array(seen.column("x").to_pylist(), np.float64).reshape(len(y), len(STATISTICS))
     ones = y.sum()
     weight = np.where(y == 1, share / max(1, ones), (1 - share) / max(1, len(y) - ones)) * len(y) if len(y) else None
     return BoostedTrees().fit(x, y, weight)

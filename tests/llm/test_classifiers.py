@@ -39,8 +39,17 @@ def test_statistics_of_edge_texts(monkeypatch):
     whole = statistics(text)
     monkeypatch.setattr(quality, "segments", lambda t: [t[:500], t[500:]] if t[500].isspace() else [t[: t.index(" ", 500)], t[t.index(" ", 500) :]])
     part = statistics(text)
-    keep = [i for i, s in enumerate(STATISTICS) if "line" not in s]
-    assert np.allclose(np.array(whole)[keep], np.array(part)[keep])
+    assert np.allclose(whole, part)
+    monkeypatch.setattr(quality, "LINE", 7)
+    assert np.allclose(whole, statistics(text))
+
+
+def test_a_line_of_any_length_is_one_line():
+    lines = STATISTICS.index("log_lines"), STATISTICS.index("distinct_lines")
+    long = "word another " * 270_000
+    for text, n, distinct in ((long, 1, 1), (long + "\n" + long, 2, 1), (long + "x\n\n" + long, 2, 2), ("a\nb\na\n", 3, 2)):
+        row = statistics(text)
+        assert np.isclose(row[lines[0]], np.log1p(n)) and np.isclose(row[lines[1]], distinct / n)
 
 
 def test_quality_on_held_out_rows(spark):
