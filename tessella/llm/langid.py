@@ -16,8 +16,6 @@ from .common import cut, fresh, narrow, ship
 
 #: Labelled rows of each language that the text model is fitted on, at most (in expectation).
 PER_LANGUAGE = 1024
-#: Characters of a labelled text, at most, for it to be fitted on; any text is read whole.
-LONGEST = 32_768
 #: Words that a text's likelihood counts for, at most: words of one text aren't independent.
 EFFECTIVE_WORDS = 20
 #: Weight of the level above, in documents, when a host's or domain's share is smoothed.
@@ -46,12 +44,25 @@ class TrigramBayes:
         self.logs = np.zeros((1, 1), np.float32)
 
     def fit(self, texts: list[str], languages: list[str], smoothing: float = 0.1) -> "TrigramBayes":
-        names = sorted(set(languages))
-        counts = {k: Counter() for k in names}
+        counts: dict[str, Counter] = {k: Counter() for k in languages}
         for text, k in zip(texts, languages):
-            for w, n in Counter(_WORD.findall(text.lower())).items():
-                for g in self._grams(w):
-                    counts[k][g] += n
+            counts[k].update(self.count(text))
+        return self.fit_counts(counts, smoothing)
+
+    @classmethod
+    def count(cls, text: str) -> Counter:
+        """Trigrams of a whole text."""
+        words: Counter = Counter()
+        for part in segments(text):
+            words.update(_WORD.findall(part.lower()))
+        out: Counter = Counter()
+        for w, n in words.items():
+            for g in cls._grams(w):
+                out[g] += n
+        return out
+
+    def fit_counts(self, counts: dict[str, Counter], smoothing: float = 0.1) -> "TrigramBayes":
+        names = sorted(counts)
         grams = sorted(set().union(*counts.values())) if names else []
         self.row = {g: i for i, g in enumerate(grams)}
         self.languages = [*names, UNDETERMINED]
@@ -88,13 +99,16 @@ class TrigramBayes:
         return total[:-1] * min(1.0, EFFECTIVE_WORDS / max(1, n)), n
 
 
-def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> TrigramBayes:
-    """A text model fitted on the driver to a bounded sample of the rows that name their language.
+def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> TrigramBayes:
+    """A text model fitted to a bounded sample of the rows that name their language.
 
     Every language that a row names is fitted, however rare: each adds a few columns to the plan
-    and at most ``per_language`` rows to the sample. Without labels every text is undetermined.
+    and at most ``per_language`` rows to the sample, in expectation; which rows depends on a hash
+    of id and text. Tasks count the trigrams of whole texts, and the driver gets one count for
+    each trigram of a language. Rows without text or language don't count, repeated rows count
+    as often as they stand there, and without labels every text is undetermined.
     """
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     own = own.where("lang is not null and lang != '' and lang != 'und' and text is not null")
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -105,9 +119,24 @@ def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "d
         if n > per_language:
             limit = limit.when(F.col("lang") == k, per_language / n)
     limit = limit.otherwise(1.0)
-    chosen = own.where((F.length("text") <= longest) & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit * (1 << 30)))
-    rows = chosen.select("lang", "text").orderBy("lang", "text").collect()
-    return TrigramBayes().fit([r.text for r in rows], [r.lang for r in rows])
+    chosen = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit * (1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found.setdefault(lang, Counter()).update(TrigramBayes.count(text))
+            rows = [(k, g, n) for k, own in found.items() for g, n in own.items()]
+            langs, grams, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    ship(docs.sparkSession)
+    grams = chosen.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    fitted: dict[str, Counter] = {k: Counter() for k in counts}
+    for r in grams.toArrow().to_batches():
+        for lang, gram, n in zip(*(c.to_pylist() for c in r.columns)):
+            fitted[lang][gram] = n
+    return TrigramBayes().fit_counts(fitted)
 
 
 def identify_languages(
@@ -208,7 +237,8 @@ def identify_languages(
 def keep_identified(docs: DataFrame, model: TrigramBayes, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, markup_col: str | None = None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns.
 
-    Rows are told apart by id and text, so a null id is no obstacle.
+    Rows are told apart by id and text, so a null id is no obstacle and repeated rows stay or go
+    together. Null and empty texts are decided by the other evidence; an empty table gives no rows.
     """
     out = identify_languages(docs, model, id_col, text_col, host_col, markup_col, least, key_text=True).where("not accepted")
     a, b = fresh(docs, "out_id", "out_tag")
