@@ -7,7 +7,7 @@ import xxhash
 
 from tessella.operators.components import components
 from tessella.llm.exact_dedup import exact_dedup, exact_groups
-from tessella.llm.simhash import VantageTree, fingerprint, near_dedup, shard_links, simhash_components
+from tessella.llm.simhash import VantageTree, fingerprint, hamming_links, near_dedup, neighbourhood, shard_links, simhash_components
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -120,7 +120,7 @@ def test_shards_find_every_link():
         edges = []
         for s in range(tree.shards):
             at = shard == s
-            edges += zip(*(x.tolist() for x in shard_links(fps[rows[at]], ids[rows[at]], guest[at], reach, small=40, block=16)))
+            edges += zip(*(x.tolist() for x in shard_links(fps[rows[at]], ids[rows[at]], guest[at], reach, small=40)))
         assert sorted(zip(rows[~guest].tolist())) == [(i,) for i in range(len(fps))]
         up = {i: i for i in ids.tolist()}
 
@@ -137,6 +137,71 @@ def test_shards_find_every_link():
         assert got == brute_components(dict(zip(ids.tolist(), map(int, fps))), reach)
 
 
+def dense(n, bits, seed=0):
+    """Fingerprints within a few bits of one centre, changed in ``bits`` places only."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros(0, np.uint64)
+    while len(out) < n:
+        x = np.full(n, 0x5DEECE66D1234567, np.uint64)
+        for _ in range(6):
+            x ^= rng.integers(0, 2, n, dtype=np.uint64) << rng.integers(0, bits, n, dtype=np.uint64)
+        out = np.unique(np.concatenate([out, x]))
+    return rng.permutation(out)[:n]
+
+
+def all_pairs_components(fps, ids, reach):
+    """Smallest id reachable, by comparing all pairs once, in blocks."""
+    order = np.argsort(ids)
+    fps, ids = fps[order], ids[order].tolist()
+    up = list(range(len(ids)))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for k in range(0, len(ids), 256):
+        i, j = np.nonzero(np.bitwise_count(fps[k : k + 256, None] ^ fps[None, k:]) <= reach)
+        for x, y in zip((i + k).tolist(), (j + k).tolist()):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+    return {i: ids[root(k)] for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_neighbourhoods_meet_exactly_within_reach(reach):
+    fps = np.concatenate([dense(250, 11), dense(250, 60, 1)])
+    ids = np.arange(len(fps)) + 7
+    a, b = shard_links(fps, ids, np.zeros(len(fps), bool), reach, small=10)
+    masks = neighbourhood(reach)
+    assert len(set(masks.tolist())) == len(masks) == (65 if reach <= 2 else 2081)
+    found = dict(zip(a.tolist(), b.tolist()))
+    assert {i: found.get(i, i) for i in ids.tolist()} == all_pairs_components(fps, ids, reach)
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_dense_leaves_are_dealt_in_parts(spark, reach):
+    fps = np.unique(np.concatenate([dense(3000, 15), np.random.default_rng(5).integers(0, 1 << 62, 1000, dtype=np.uint64)]))
+    ids = np.random.default_rng(6).permutation(len(fps)) + 1
+    tree = VantageTree(np.random.default_rng(7).permutation(fps)[:2000], len(fps), 100, reach)
+    assert any(tree.parts) and not all(tree.parts)
+    points = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), ids.tolist())), "fp long, rep long")
+    found = {r.node: r.component for r in components(hamming_links(points, reach, shard=100)).collect()}
+    assert {i: found.get(i, i) for i in ids.tolist()} == all_pairs_components(fps, ids, reach)
+
+
+def test_fifty_thousand_within_a_few_bits(spark):
+    """One dense group, many times a shard: no task gets more than a bounded share, no link is lost."""
+    fps = dense(50_000, 22)
+    ids = np.random.default_rng(8).permutation(len(fps)) + 1
+    tree = VantageTree(np.random.default_rng(9).permutation(fps)[:4096], len(fps), 8192, 2)
+    assert sum(tree.parts) * 16 * 8192 >= 0.5 * len(fps) * 65
+    points = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), ids.tolist())), "fp long, rep long").repartition(8)
+    found = {r.node: r.component for r in components(hamming_links(points)).collect()}
+    assert {i: found.get(i, i) for i in ids.tolist()} == all_pairs_components(fps, ids, 2)
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup(make(spark, [])).count() == 0
     rows = [(None, "a", "k", 1), (1, "same text here now", "k", 1), (2, "same text here now", None, 1), (4, None, "k", 1), (5, "", "k", 1)]
