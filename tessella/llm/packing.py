@@ -123,7 +123,7 @@ def pack(
         def rows(part: list[tuple], is_open: bool) -> pa.RecordBatch:
             cols = list(zip(*part)) or [[]] * 8
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array([is_open] * len(part))], [x.split()[0] for x in _PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array([is_open] * len(part), pa.bool_())], [x.split()[0] for x in _PIECES.split(", ")])
 
         for b in batches:
             pieces = []

@@ -126,7 +126,7 @@ def test_utf8_machine():
     for _ in range(400):
         data = bytes(rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xE2, 0xED, 0xF0, 0xF4, 0x9F, 0x90, 0xFF]) for _ in range(rng.randrange(9)))
         machine = Utf8Machine()
-        assert "".join([machine.feed([b]) for b in data]) + machine.end() == data.decode("utf-8", "replace")
+        assert "".join([machine.feed(bytes([b])) for b in data]) + machine.end() == data.decode("utf-8", "replace")
 
 
 def test_round_trip_query(spark, library):
@@ -140,6 +140,11 @@ def test_round_trip_query(spark, library):
     back = {r.doc_id: r.text for r in decode_documents(rows, BYTE).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert round_trip(make(spark, []), WORD).count() == 0
+    other = Tokenizer.from_file(BYTE)
+    for r in round_trip(make(spark, TEXTS), BYTE).collect():
+        ids = other.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(other.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_token_counts(spark, library):
@@ -204,3 +209,32 @@ def test_special_strings_in_other_cases_are_plain_text(spark, library):
         assert trips[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert trips[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert bytes(pieces[i].ids) == np.array([*ids, 1], "<u4").tobytes()
+
+
+def test_pieces_of_special_strings(spark, library):
+    """Texts over an alphabet of pieces of the added tokens, in any case."""
+    rng = random.Random(12)
+    pieces = ["<|", "|>", "endoftext", "ENDOFTEXT", "EndOfText", "startoftext", "StartOfText", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", " ", "a", "The", ".", ",", "'s", "é", "Ü", "7"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    counts = {r.doc_id: r.n_tokens for r in token_counts(make(spark, texts), WORD).collect()}
+    trips = {r.doc_id: r.ids_sha256 for r in round_trip(make(spark, texts), WORD).collect()}
+    packed = {r.doc_id: bytes(r.ids) for r in pack(make(spark, texts), WORD).collect()}
+    for i, own in enumerate(ids):
+        assert counts[i] == len(own)
+        assert trips[i] == hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest()
+        assert packed[i] == np.array([*own, 1], "<u4").tobytes()
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "one two", "x", 1), (None, None, "x", 1), (3, "three", "x", 1), (3, "three", "x", 1), (3, "four four", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, n_tokens int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    for out in (token_counts(docs, WORD), round_trip(docs, WORD)):
+        assert [(r.doc_id, r.n_tokens) for r in sorted(out.collect(), key=key)] == [(3, 1), (3, 1), (3, 2), (None, 0), (None, 2)]
+    packed = pack(docs, WORD).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in packed) == [(0, 1), (0, 3), (3, 2), (3, 2), (3, 3)]
+    by_bin = {}
+    for r in sorted(packed, key=lambda r: r.offset):
+        assert r.offset == by_bin.get(r.sequence_id, 0)
+        by_bin[r.sequence_id] = r.offset + r.length
