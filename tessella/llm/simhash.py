@@ -98,6 +98,10 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return ((codes ^ (codes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
+#: Shards that a group which can't be divided may be as large as before it is dealt by neighbourhoods.
+DENSE = 8
+
+
 class VantageTree:
     """The upper part of a vantage-point tree, fitted to a sample, that deals fingerprints to shards.
 
@@ -136,8 +140,9 @@ class VantageTree:
         if best is None:
             self.nodes[me] = (self.shards,)
             self.shards += 1
-            # a part takes sixteen rows of neighbourhoods for each row of a shard
-            self.parts.append(-(-int(size * scale) * len(self.masks) // (16 * shard)) if large and size * scale > 2 * shard else 0)
+            # what is several times a shard still is one task's work, whose memory is bounded; a part has as many rows
+            many = large and size * scale > DENSE * shard
+            self.parts.append(-(-int(size * scale) * len(self.masks) // (DENSE * shard)) if many else 0)
         else:
             _, v, radius, inside, near, e = best
             left = self._grow(x[inside], visit[e <= radius + self.reach], scale, shard, depth - 1)
@@ -270,7 +275,7 @@ def _link_codes(forest: _Forest, codes: np.ndarray, at: np.ndarray, within: np.n
     forest.link(at[head[links]], at[links])
 
 
-def hamming_links(points: DataFrame, reach: int = 2, shard: int = 8192, most: int = 1 << 21) -> DataFrame:
+def hamming_links(points: DataFrame, reach: int = 2, shard: int = 16_384, most: int = 1 << 21) -> DataFrame:
     """Edges (a, b) that join exactly the ``points`` (fp, rep; fp unique) whose distances chain within ``reach``.
 
     The tree is fitted to a sample of the fingerprints (those with the smallest hashes): 16 for
@@ -326,7 +331,7 @@ def hamming_links(points: DataFrame, reach: int = 2, shard: int = 8192, most: in
     return dealt.groupBy("shard", "part").applyInArrow(join, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 2, width: int = 3, shard: int = 8192) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 2, width: int = 3, shard: int = 16_384) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Fingerprints link at ``reach`` or fewer differing bits. Null and empty texts have the

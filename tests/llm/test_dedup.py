@@ -184,10 +184,10 @@ def test_neighbourhoods_meet_exactly_within_reach(reach):
 def test_dense_leaves_are_dealt_in_parts(spark, reach):
     fps = np.unique(np.concatenate([dense(3000, 15), np.random.default_rng(5).integers(0, 1 << 62, 1000, dtype=np.uint64)]))
     ids = np.random.default_rng(6).permutation(len(fps)) + 1
-    tree = VantageTree(np.random.default_rng(7).permutation(fps)[:2000], len(fps), 100, reach)
+    tree = VantageTree(np.random.default_rng(7).permutation(fps)[:2000], len(fps), 20, reach)
     assert any(tree.parts) and not all(tree.parts)
     points = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), ids.tolist())), "fp long, rep long")
-    found = {r.node: r.component for r in components(hamming_links(points, reach, shard=100)).collect()}
+    found = {r.node: r.component for r in components(hamming_links(points, reach, shard=20)).collect()}
     assert {i: found.get(i, i) for i in ids.tolist()} == all_pairs_components(fps, ids, reach)
 
 
@@ -195,11 +195,13 @@ def test_fifty_thousand_within_a_few_bits(spark):
     """One dense group, many times a shard: no task gets more than a bounded share, no link is lost."""
     fps = dense(50_000, 22)
     ids = np.random.default_rng(8).permutation(len(fps)) + 1
-    tree = VantageTree(np.random.default_rng(9).permutation(fps)[:4096], len(fps), 8192, 2)
-    assert sum(tree.parts) * 16 * 8192 >= 0.5 * len(fps) * 65
+    tree = VantageTree(np.random.default_rng(9).permutation(fps)[:4096], len(fps), 1024, 2)
+    assert sum(tree.parts) * 8 * 1024 >= 0.5 * len(fps) * 65
     points = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), ids.tolist())), "fp long, rep long").repartition(8)
-    found = {r.node: r.component for r in components(hamming_links(points)).collect()}
-    assert {i: found.get(i, i) for i in ids.tolist()} == all_pairs_components(fps, ids, 2)
+    want = all_pairs_components(fps, ids, 2)
+    for shard in (1024, 16_384):
+        found = {r.node: r.component for r in components(hamming_links(points, shard=shard)).collect()}
+        assert {i: found.get(i, i) for i in ids.tolist()} == want
 
 
 def test_near_dedup_edges(spark):
