@@ -20,12 +20,14 @@ from .common import cut, ship
 
 #: Vectors that the index is fitted on, at most (in expectation).
 SAMPLE = 50_000
-#: Vectors to a list, and lists, at most; more vectors than both allow make longer lists, which are searched in parts.
-LIST, LISTS = 256, 65_536
+#: Vectors to a list, as long as the sample has so many vectors for each list; from then on (12,500 lists of 256) lists grow and are searched in parts.
+LIST, LEAST_FITTED = 256, 4
 #: Vectors or queries that one task compares, at most.
 PART, QUERIES = 8_192, 8_192
-#: Lists that a vector is filed under, at most, and how much farther than the nearest they may be.
+#: Lists that a vector near a boundary is filed under, at most, and how much farther than the nearest they may be.
 REPLICAS, REPLICA_RATIO = 3, 1.05
+#: Centroids that a search for the lists of a vector keeps in view.
+BEAM = 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -116,10 +118,11 @@ class CentroidGraph:
     def within(self, x: np.ndarray, ratio: float, most: int | None = None, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, lists): the centroids of each row that are at most ``ratio`` times as far as its nearest."""
         for k in range(0, len(x), block):
-            rows, width = np.arange(k, min(k + block, len(x))), most or 64
+            rows, width = np.arange(k, min(k + block, len(x))), 64 if most is None else max(most, BEAM)
             while len(rows):
                 ids, dist = self.search(x[rows], width)
                 near = dist <= np.maximum(dist[:, :1] * ratio, 1e-6)
+                near[:, most:] &= most is None
                 # a beam that is all within the ratio may be too narrow
                 short = near.all(1) & (ids.shape[1] < len(self.centroids)) if most is None else np.zeros(len(rows), bool)
                 r, c = np.nonzero(near & ~short[:, None])
@@ -128,42 +131,54 @@ class CentroidGraph:
 
 
 class PostingIndex:
-    """What is fitted on the driver: centroids, their graph, the dimension, and the search ratio."""
+    """What is fitted on the driver: centroids, their graph, and, calibrated together, the search ratio and the number of replicas.
+
+    Replicas let a query open fewer lists, but each list is longer. Where vectors have no
+    structure, that costs more than it saves; so both ways are calibrated for the recall, and
+    the one that compares fewer vectors a query is taken. ``share`` is that number, as
+    estimated on the sample, over all vectors. Without replicas it is 1 at most.
+    """
 
     def __init__(self, sample: np.ndarray, population: int, per_list: int = LIST, recall: float = 0.98, k: int = 5, seed: int = 0, ids: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         x = unit(sample)
-        lists = int(max(1, min(LISTS, population // per_list, max(1, len(x) // 8))))
+        lists = int(max(1, min(population // per_list, max(1, len(x) // LEAST_FITTED))))
         self.graph = CentroidGraph(balanced_centroids(x, lists, rng))
+        self.ratio, self.replicas, self.share = 10.0, 1, 1.0
         # copies of an id are no neighbours of each other
-        self.ratio = self._calibrate(x if ids is None else x[np.unique(ids, return_index=True)[1]], recall, k, rng)
+        self._calibrate(x if ids is None else x[np.unique(ids, return_index=True)[1]], recall, k, rng)
 
     def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = list(self.graph.within(x, REPLICA_RATIO, REPLICAS))
+        parts = list(self.graph.within(x, REPLICA_RATIO, self.replicas))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _calibrate(self, x: np.ndarray, recall: float, k: int, rng) -> float:
-        """The ratio at which sample queries find ``recall`` of their k nearest in the sample.
+    def _calibrate(self, x: np.ndarray, recall: float, k: int, rng) -> None:
+        """The ratio at which sample queries find ``recall`` of their k nearest in the sample, and what it costs.
 
         For each true neighbour the least ratio that reaches one of its lists is known; their
         quantile is the answer.
         """
         if len(x) < 3:
-            return 10.0
+            return
         q = rng.choice(len(x), min(300, len(x)), replace=False)
         sims = x[q] @ x.T
         sims[np.arange(len(q)), q] = -9
         k = min(k, len(x) - 1)
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        flat = np.unique(top)
-        rows, lists = self.file(x[flat])
-        where: dict[int, list[int]] = {}
-        for r, c in zip(flat[rows].tolist(), lists.tolist()):
-            where.setdefault(r, []).append(c)
+        flat, some = np.unique(top), rng.choice(len(x), min(4096, len(x)), replace=False)
         far = np.sqrt(np.maximum(0, 2 - 2 * x[q] @ self.graph.centroids.T))
         nearest = np.maximum(far.min(1), 1e-6)
-        need = [min(far[i, where[int(t)]]) / nearest[i] for i in range(len(q)) for t in top[i]]
-        return float(np.quantile(need, recall)) + 1e-4
+        found = []
+        for self.replicas in (REPLICAS, 1):
+            rows, lists = self.file(x[flat])
+            where: dict[int, list[int]] = {}
+            for r, c in zip(flat[rows].tolist(), lists.tolist()):
+                where.setdefault(r, []).append(c)
+            need = [min(far[i, where[int(t)]]) / nearest[i] for i in range(len(q)) for t in top[i]]
+            ratio = float(np.quantile(need, recall)) + 1e-4
+            length = np.bincount(self.file(x[some])[1], minlength=far.shape[1]) / len(some)
+            found.append((float(((far <= nearest[:, None] * ratio) @ length).mean()), ratio, self.replicas))
+        self.share, self.ratio, self.replicas = min(found)
 
 
 def _usable(vec: Column) -> Column:
@@ -186,8 +201,9 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest found for every row that ``is_query`` marks.
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller id.
-    Vectors that are null, zero, hold null or non-finite components, or differ in length from
-    most of the sample take no part, nor do rows with a null id. A row is never its own
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+    with a null id, nor vectors that aren't of the most common length: a cosine is between
+    vectors of one length. A row is never its own
     neighbour; rows that repeat an id count as one candidate. Fewer candidates than k give
     fewer rows, an empty table none.
 
@@ -210,7 +226,7 @@ def nearest(
     seen = chosen.select("id", F.col("v").cast("array<float>").alias("v")).toArrow().sort_by("id")
     fitted = np.asarray(seen.column("v").combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
     index = PostingIndex(fitted, population, per_list, recall, k, ids=seen.column("id").to_numpy())
-    # bounded: LISTS centroids and their links at most
+    # bounded: a fourth of the sample's vectors as centroids, and their links, at most
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +247,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array([asks] * len(r)), b.column(0).take(take), b.column(1).take(take)], ["list", "asks", "id", "v"])
 
     dealt = cut(rows.mapInArrow(deal, "list int, asks boolean, id long, v array<double>"))
-    # one row for each list, so LISTS at most
+    # one row for each list, whose number the sample bounds
     counts = dealt.groupBy("list").agg(F.count_if(~F.col("asks")).alias("n"), F.count_if("asks").alias("m")).where("n > 0 and m > 0")
     plan = F.broadcast(counts.select("list", F.ceil(F.col("n") / part).cast("int").alias("parts"), F.ceil(F.col("m") / QUERIES).cast("int").alias("turns")))
     both = dealt.join(plan, "list")
