@@ -158,7 +158,9 @@ class Utf8Machine:
     def __init__(self):
         self.need, self.code, self.low, self.high = 0, 0, 0x80, 0xBF
 
-    def feed(self, data: Iterable[int]) -> str:
+    def feed(self, data: bytes) -> str:
+        if not self.need and data.isascii():
+            return data.decode()
         out = []
         for b in data:
             if self.need:
@@ -211,17 +213,14 @@ class Codec:
         self.spaceless = ignores_space(self.tok)
         self.folds = folds(path)
         self.words: dict[str, list[int]] = {}
+        self.data: dict[int, bytes] = {}  # of byte-level tokens, as many as the vocabulary has at most
         self.cached = cached
 
     def _word(self, symbols: str) -> list[int]:
         ids = self.words.get(symbols)
         if ids is None:
-            vocab = self.m.vocab
-            if len(symbols) <= _SCAN:  # within the window: nothing is stable before the end
-                ids = [vocab[t] for t in self.m.merge([*symbols[:-1], symbols[-1] + self.m.suffix])]
-            else:
-                run = Encoder(self.m)
-                ids = [vocab[t] for t in run.feed(symbols)] + [vocab[t] for t in run.end()]
+            vocab, run = self.m.vocab, Encoder(self.m)
+            ids = [vocab[t] for t in run.feed(symbols)] + [vocab[t] for t in run.end()]
             if len(symbols) <= 48:
                 if len(self.words) >= self.cached:
                     self.words.clear()
@@ -256,11 +255,11 @@ class Codec:
             return
         machine = Utf8Machine()
         for i in ids:
-            t = self.texts.get(i, "")
-            if all(c in self.bytes_of for c in t):
-                yield machine.feed(self.bytes_of[c] for c in t)
-            else:
-                yield machine.feed(t.encode())
+            data = self.data.get(i)
+            if data is None:
+                t = self.texts.get(i, "")
+                data = self.data[i] = bytes(self.bytes_of[c] for c in t) if all(c in self.bytes_of for c in t) else t.encode()
+            yield machine.feed(data)
         yield machine.end()
 
 

@@ -70,8 +70,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a byte-level vocabulary, whose tokens may end inside a character: decoding goes through the byte machine."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_warc_revisits, op4_toxicity, op5_simhash, op6_nearest_vectors, op7_quality, op8_language_id, page_languages, op9_token_counts, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_warc_revisits, op4_toxicity, op5_simhash, op6_nearest_vectors, op7_quality, op8_language_id, page_languages, op9_token_counts, op10_bpe_round_trip, byte_level_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
