@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +22,47 @@ def _extent() -> Column:
     return F.greatest(F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"))
 
 
-def _cells(df: DataFrame, cell: float, levels: int, reach: float) -> DataFrame:
-    """A row for each cell that a box meets, on the level that suits its size and on all coarser ones.
+def _own_level(cell: float, top: int, reach: float) -> Column:
+    """The level whose cells are at least as wide as a box; there a box meets four cells at most, however large it is."""
+    size = _extent() + 2 * reach
+    level = F.when(size <= cell, 0).otherwise(F.ceil(F.log(size / cell) / math.log(_STEP) - 1e-9)).cast("int")
+    return F.least(level, F.lit(top))
 
-    On its own level a box is at most a cell wide, so it meets four cells at most, however
-    large it is.
-    """
-    size = F.when(_extent() + 2 * reach <= cell, 0).otherwise(F.ceil(F.log((_extent() + 2 * reach) / cell) / math.log(_STEP) - 1e-9)).cast("int")
-    df = df.withColumn("_own", F.least(size, F.lit(levels)))
-    df = df.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(levels))))
+
+def _cells(df: DataFrame, name: str, cell: float, level: Column, reach: float) -> DataFrame:
+    """A row for each level that ``level`` gives and each cell there that a box meets, columns named ``name_*``."""
+    dealt = df.withColumn("_level", level)
     width = F.lit(cell) * F.pow(F.lit(float(_STEP)), F.col("_level"))
 
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(low) - reach) / width), F.floor((F.col(high) + reach) / width)))
 
-    return df.withColumn("_cx", span("bbox.xmin", "bbox.xmax")).withColumn("_cy", span("bbox.ymin", "bbox.ymax"))
+    dealt = dealt.withColumn("_cx", span("bbox.xmin", "bbox.xmax")).withColumn("_cy", span("bbox.ymin", "bbox.ymax"))
+    return dealt.select(*[F.col(f"`{c}`").alias(f"{name}_{c}") for c in df.columns], *[F.col(c).alias(f"_{name}{c}") for c in ("_level", "_cx", "_cy")])
+
+
+def _dealt(left: DataFrame, right: DataFrame, cell: float, top: int, reach: float) -> list[tuple[DataFrame, DataFrame]]:
+    """Sides to be joined by cell, such that every pair meets on the coarser of its own levels and nowhere else.
+
+    Boxes of one side stand on their own level only, those of the other also on the coarser
+    levels that the first side has boxes on. So two small boxes never meet on a coarse level,
+    however many large boxes there are.
+    """
+    levels = [_own_level(cell, top, r) for r in (reach, 0.0)]
+    sides = [df.where("bbox is not null") for df in (left, right)]
+    if not top:
+        return [tuple(_cells(df, n, cell, F.lit(0), r) for df, n, r in zip(sides, "ab", (reach, 0.0)))]
+    # a few levels at most, whatever the layers hold
+    present = [sorted(r[0] for r in df.select(level.alias("l")).distinct().collect() if r[0] is not None) for df, level in zip(sides, levels)]
+
+    def up(own: Column, others: list[int], itself: bool) -> Column:
+        wanted = F.array(*map(F.lit, others)) if others else F.array().cast("array<int>")
+        return F.explode(F.filter(wanted, (lambda x: x >= own) if itself else (lambda x: x > own)))
+
+    same = (_cells(sides[0], "a", cell, levels[0], reach), _cells(sides[1], "b", cell, up(levels[1], present[0], True), 0.0))
+    if present[1] and present[0] and present[1][-1] > present[0][0]:
+        return [same, (_cells(sides[0], "a", cell, up(levels[0], present[1], False), reach), _cells(sides[1], "b", cell, levels[1], 0.0))]
+    return [same]
 
 
 def bbox_pairs(left: DataFrame, right: DataFrame, cell: float | None = None, reach: float = 0.0, ordered: bool = False, predicate: str | None = None) -> DataFrame:
@@ -47,7 +74,8 @@ def bbox_pairs(left: DataFrame, right: DataFrame, cell: float | None = None, rea
 
     The cell size is twice the mean extent of both sides unless given. Boxes of any size meet
     at most four cells on the level that suits them; a pair is found on the coarser level of
-    the two, and kept only in the cell that has the lower left corner of the common part.
+    the two (:func:`_dealt`), and kept only in the cell that has the lower left corner of the
+    common part.
     """
     if cell is None or cell <= 0:
         stats = [df.where("bbox is not null").agg(F.avg(_extent()), F.max(_extent())).first() for df in (left, right)]
@@ -60,11 +88,6 @@ def bbox_pairs(left: DataFrame, right: DataFrame, cell: float | None = None, rea
     cell = max(cell, 2.001 * reach, 1e-12)
     levels = max(0, math.ceil(math.log((top + 2 * reach) / cell) / math.log(_STEP) - 1e-9)) if top + 2 * reach > cell else 0
 
-    def side(df: DataFrame, name: str, grow: float) -> DataFrame:
-        dealt = _cells(df.where("bbox is not null"), cell, levels, grow)
-        return dealt.select(*[F.col(f"`{c}`").alias(f"{name}_{c}") for c in df.columns], *[F.col(c).alias(f"_{name}{c}") for c in ("_own", "_level", "_cx", "_cy")])
-
-    a, b = side(left, "a", reach), side(right, "b", 0.0)
     on = (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_cx") == F.col("_b_cx")) & (F.col("_a_cy") == F.col("_b_cy"))
     if ordered:
         on = on & (F.col("a_fid") < F.col("b_fid"))
@@ -72,12 +95,11 @@ def bbox_pairs(left: DataFrame, right: DataFrame, cell: float | None = None, rea
     p, q = F.col("a_bbox"), F.col("b_bbox")
     meet = (p.xmin - reach <= q.xmax) & (p.xmax + reach >= q.xmin) & (p.ymin - reach <= q.ymax) & (p.ymax + reach >= q.ymin)
     once = (F.floor(F.greatest(p.xmin - reach, q.xmin) / width) == F.col("_a_cx")) & (F.floor(F.greatest(p.ymin - reach, q.ymin) / width) == F.col("_a_cy"))
-    level = F.col("_a_level") == F.greatest("_a_own", "_b_own")
-    on = on & meet & level & once
+    on = on & meet & once
     if predicate:  # last, so that cheap tests come before it
         on = on & geo(predicate, "a_geom", "b_geom")
-    pairs = a.join(b, on)
-    return pairs.drop(*[f"_{n}{c}" for n in "ab" for c in ("_own", "_level", "_cx", "_cy")])
+    parts = [a.join(b, on).drop(*[f"_{n}{c}" for n in "ab" for c in ("_level", "_cx", "_cy")]) for a, b in _dealt(left, right, cell, levels, reach)]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", how: str = "inner", key: str = "fid", **options) -> DataFrame:

@@ -151,6 +151,26 @@ def test_join_on_cells_is_a_plain_join(spark, seed, cell, reach):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_small_boxes_never_meet_above_their_level(spark):
+    """Candidates grow by what a large box really meets, not with the square of the small ones."""
+    from tessella.operators import spatial_join as sj
+
+    small = [(float(i % 60), float(i // 60), float(i % 60) + 0.9, float(i // 60) + 0.9) for i in range(3600)]
+    layers = [boxes(spark, small + more) for more in ([], [(0, 0, 60, 60)], [(0, 0, 60, 60), (10, 10, 30, 30)])]
+
+    def candidates(layer):
+        pairs = sj._dealt(layer, layer, 1.8, 2, 0.0)
+        on = [F.col(f"_a_{c}") == F.col(f"_b_{c}") for c in ("level", "cx", "cy")]
+        return sum(a.join(b, on).count() for a, b in pairs)
+
+    alone, one, two = map(candidates, layers)
+    assert one <= alone + 4 * 2 * len(small) * 1.3 and two <= one + 4 * 2 * len(small) * 1.3
+    got = {tuple(r) for r in bbox_pairs(layers[2], layers[2], ordered=True).select("a_fid", "b_fid").collect()}
+    every = small + [(0, 0, 60, 60), (10, 10, 30, 30)]
+    want = {(i + 1, j + 1) for i in range(3600, 3602) for j in range(i) if every[j][0] <= every[i][2] and every[j][2] >= every[i][0] and every[j][1] <= every[i][3] and every[j][3] >= every[i][1]}
+    assert got == {(min(p), max(p)) for p in want}
+
+
 def test_joins_without_geometry(spark):
     a, none = boxes(spark, MATRIX_A), boxes(spark, MATRIX_A).limit(0)
     lost = a.withColumn("geom", F.lit(None).cast("binary")).withColumn("bbox", geo("bbox", "geom"))
