@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,21 +36,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that nor a
-    context-wide folder is set (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    ship(spark)
+def _shared_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder: the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    ship(df.sparkSession)
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, for files that are written and read again."""
+    return f"{_shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, name: str, *order, start: int = 1) -> DataFrame:
     """Adds consecutive numbers in the order given, or in the order of the rows' partitions.
 

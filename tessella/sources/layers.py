@@ -137,7 +137,9 @@ def _assemble(spark: SparkSession, rows: DataFrame) -> Layer:
     own = cut(numbered(rows, "fid"))
     schema = spark.read.json(own.where("props is not null").select("props").rdd.map(lambda r: r[0])).schema
     geom = with_bbox(own.select("fid", normalised(F.col("geom"), F.col("srid")).alias("geom")))
-    attrs = own.select("fid", F.from_json("props", schema).alias("p")).select("fid", "p.*") if schema else own.select("fid")
+    # a property of that name is none: rows are counted anew
+    kept = [c for c in schema.names if c.lower() != "fid"]
+    attrs = own.select("fid", F.from_json("props", schema).alias("p")).select("fid", *[F.col("p").getField(c).alias(c) for c in kept])
     return Layer(cut(geom), attrs)
 
 

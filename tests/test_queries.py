@@ -48,7 +48,7 @@ def test_every_point_gets_its_nearest_corner(spark, tables):
         at = (round(float(x)), round(float(y)))
         if at in corners and (float(x) - at[0]) ** 2 + (float(y) - at[1]) ** 2 < 0.25:
             want[fid] = corners[at]
-    rows = QUERIES["nearest_corner_all"](spark, SF).collect()
+    rows = QUERIES["nearest_corner"](spark, SF).collect()
     assert len(rows) == len(want) and {r.fid: r.corner for r in rows} == want
     assert any(f % 5 for f in want)
 
@@ -63,5 +63,5 @@ def test_vertices_are_deleted_in_the_whole_layer(spark):
         left = [c for c in corners if not (0.9 <= c[0] <= 5.1 and 0.9 <= c[1] <= 1.1)]
         want[k + 1] = len(left) if len(left) >= 3 else 4  # a unit that would vanish stays
     assert any(n == 3 for f, n in want.items() if f > 20)
-    rows = QUERIES["vertex_delete_all"](spark, folder).collect()
+    rows = QUERIES["vertex_delete"](spark, folder).collect()
     assert len(rows) == len(want) and {r.fid: r.corners for r in rows} == want
