@@ -62,9 +62,10 @@ class SubwordSoftmax:
         self.seed, self.weight, self.base, self.slope, self.bias = seed, np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0
         self._list: list[float] | None = None
 
-    def train(self, bags: list[dict[str, int]], labels: list[int], epochs: int = 4, rate: float = 0.2, batches: int = 48, least: int = 5) -> bool:
+    def train(self, bags: list[dict[str, int]], labels: list[int], steps: int = 192, rate: float = 0.2, rows: int = 96, least: int = 5) -> bool:
         """Trains vectors and softmax jointly on labelled bags of words (RMSprop and Adagrad, classes weighted evenly).
 
+        Training takes ``steps`` steps of about ``rows`` bags, so as many passes as that needs.
         Words that fewer than ``FEW`` bags have aren't trained on, and buckets that fewer than
         ``least`` bags have stay at zero. With one class or none the scores are that class's
         smoothed share, and the answer is False.
@@ -74,7 +75,8 @@ class SubwordSoftmax:
             p = (y.sum() + 0.5) / (len(y) + 2)
             self.base = self.bias = float(np.log(p / (1 - p)))
             return False
-        self._train(bags, y, epochs, rate, batches, least, np.random.default_rng(self.seed))
+        batches = max(1, len(y) // rows)
+        self._train(bags, y, -(-steps // batches), rate, batches, least, np.random.default_rng(self.seed))
         return True
 
     def calibrate(self, margins: np.ndarray, labels: np.ndarray) -> None:
