@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions.geometry import equal_earth_area, geo, polygonal, register, union_agg
 from tessella.operators.components import components
 from tessella.operators.spatial_join import bbox_pairs, with_bbox
-from tessella.session import cut, numbered
+from tessella.session import computation_failed, cut, numbered
 
 #: Overlay parts below this many square degrees are residue (fixed value).
 CRUMB = 1e-12
@@ -138,8 +138,8 @@ def measured_pairs(a: DataFrame, b: DataFrame, method: str = "auto") -> tuple[Da
     if method in ("exact", "auto"):
         try:
             return cut(exact_pairs(a, b)), "exact"
-        except Exception:
-            if method == "exact":
+        except Exception as e:
+            if method == "exact" or not computation_failed(e):
                 raise
     return cut(sampled_pairs(a, b)), "sampling"
 

@@ -11,7 +11,7 @@ from tessella.functions.geometry import geo, polygonal, register, union_agg
 from tessella.functions.units import degrees_to_m, m2_to_square_degrees, metres_to_degrees, nice_number, square_degrees_to_m2
 from tessella.operators.components import components
 from tessella.operators.spatial_join import bbox_pairs, spatial_join, with_bbox
-from tessella.session import cut, numbered
+from tessella.session import computation_failed, cut, numbered
 
 #: Regions of up to a square centimetre are residue; the grid that a failing layer is snapped to; undo steps kept (fixed values).
 LEAST_AREA_M2, REDUCED_GRID, UNDO_STEPS = 1e-4, 1e-10, 20
@@ -200,12 +200,13 @@ def export_check(cleaned: DataFrame, latitude: float = 0.0) -> ExportCheck:
 
 
 def _attempt(detect, layer: DataFrame, schema: str) -> tuple[DataFrame, bool]:
-    """A detector's rows; on failure those on reduced precision, and then none."""
+    """A detector's rows; if shapes make it fail, those on reduced precision, and then none. Other errors, such as lost executors, are not caught."""
     for source in (lambda: layer, lambda: reduced(layer)):
         try:
             return cut(detect(source())), True
-        except Exception:
-            continue
+        except Exception as e:
+            if not computation_failed(e):
+                raise
     return layer.sparkSession.createDataFrame([], schema), False
 
 
@@ -265,7 +266,9 @@ class CleanSession:
         gap_deg = metres_to_degrees(gap_width_m, self.latitude)
         try:
             cleaned = cut(clean_coverage(own, gap_deg))
-        except Exception:
+        except Exception as e:
+            if not computation_failed(e):
+                raise
             cleaned = cut(clean_coverage(cut(reduced(own)), gap_deg))
         if not ok:
             slivers, ok = _attempt(slivers_of, frozen(cleaned), SLIVER_SCHEMA)

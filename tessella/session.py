@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def computation_failed(e: Exception) -> bool:
+    """Whether an error comes from what a row holds (a geometry library's, an expression's), not from a lost executor or a bug of a plan.
+
+    A second way of computing is tried for the former alone.
+    """
+    text = str(e)
+    return not isinstance(e, AnalysisException) and any(x in text for x in ("TopologyException", "locationtech", "FAILED_EXECUTE_UDF", "ArithmeticException"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

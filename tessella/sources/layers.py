@@ -97,21 +97,24 @@ def _declared(metadata: dict, geom: str) -> int:
     return int(code) if str(code).isdigit() else 4326
 
 
-def load_layer(spark: SparkSession, *paths: str, srid: int | None = None) -> Layer:
+def load_layer(spark: SparkSession, *paths: str, srid: int | None = None, extent: tuple[float, float, float, float] | None = None) -> Layer:
     """Reads a layer from its file or files (ZIP archives are opened).
 
     Parquet and line-delimited GeoJSON are read by Spark in parallel; other formats are one
-    task's work, as their files can't be split. ``fid`` counts rows from 1 in file order.
+    task's work, as their files can't be split. ``fid`` counts rows from 1 in file order. With
+    ``extent`` (in longitudes and latitudes) rows whose raw box misses it are left out before
+    anything is repaired; rows in other reference systems are all kept, as their boxes don't
+    compare.
     """
     register(spark)
     plain = [p for p in paths if not p.lower().endswith(".zip")]
     ext = pick_format([os.path.basename(p.rstrip("/")) for p in plain]) if plain and len(plain) == len(paths) else None
     if ext == ".parquet":
-        return _split(spark, spark.read.parquet(next(p for p in plain if p.rstrip("/").lower().endswith(".parquet"))), srid)
+        return _split(spark, spark.read.parquet(next(p for p in plain if p.rstrip("/").lower().endswith(".parquet"))), srid, extent)
     if ext == ".geojsonl":
         lines = spark.read.text(next(p for p in plain if p.lower().endswith(".geojsonl"))).where(F.trim("value") != "")
         rows = lines.select(F.get_json_object("value", "$.geometry").alias("geojson"), F.get_json_object("value", "$.properties").alias("props"))
-        return _assemble(spark, rows.select(geo("from_geojson", "geojson").alias("geom"), "props", F.lit(srid or 4326).alias("srid")))
+        return _assemble(spark, rows.select(geo("from_geojson", "geojson").alias("geom"), "props", F.lit(srid or 4326).alias("srid")), extent)
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     together = files.agg(F.sort_array(F.collect_list(F.struct("path", "content"))).alias("files"))
 
@@ -130,11 +133,23 @@ def load_layer(spark: SparkSession, *paths: str, srid: int | None = None) -> Lay
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], ["wkb", "geojson", "props", "srid"])
 
     rows = together.mapInArrow(run, "wkb binary, geojson string, props string, srid int")
-    return _assemble(spark, rows.select(F.coalesce("wkb", geo("from_geojson", "geojson")).alias("geom"), "props", (F.lit(srid) if srid else F.col("srid")).alias("srid")))
+    return _assemble(spark, rows.select(F.coalesce("wkb", geo("from_geojson", "geojson")).alias("geom"), "props", (F.lit(srid) if srid else F.col("srid")).alias("srid")), extent)
 
 
-def _assemble(spark: SparkSession, rows: DataFrame) -> Layer:
-    own = cut(numbered(rows, "fid"))
+def _meets(box: Column, extent: tuple[float, float, float, float]) -> Column:
+    return (box.xmin <= extent[2]) & (box.xmax >= extent[0]) & (box.ymin <= extent[3]) & (box.ymax >= extent[1])
+
+
+def _raw(rows: DataFrame, geom: str, srid: Column | int, extent: tuple[float, float, float, float] | None) -> DataFrame:
+    """Rows that may meet the extent, by their boxes as they stand in the file; rows without geometry can't."""
+    if extent is None:
+        return rows
+    srid = F.lit(srid) if isinstance(srid, int) else srid
+    return rows.where((srid != 4326) | _meets(geo("bbox", F.col(f"`{geom}`")), extent))
+
+
+def _assemble(spark: SparkSession, rows: DataFrame, extent: tuple[float, float, float, float] | None = None) -> Layer:
+    own = cut(_raw(numbered(rows, "fid"), "geom", F.col("srid"), extent))
     schema = spark.read.json(own.where("props is not null").select("props").rdd.map(lambda r: r[0])).schema
     geom = with_bbox(own.select("fid", normalised(F.col("geom"), F.col("srid")).alias("geom")))
     # a property of that name is none: rows are counted anew
@@ -143,7 +158,7 @@ def _assemble(spark: SparkSession, rows: DataFrame) -> Layer:
     return Layer(cut(geom), attrs)
 
 
-def _split(spark: SparkSession, rows: DataFrame, srid: int | None) -> Layer:
+def _split(spark: SparkSession, rows: DataFrame, srid: int | None, extent: tuple[float, float, float, float] | None = None) -> Layer:
     binary = {f.name for f in rows.schema if isinstance(f.dataType, T.BinaryType)}
     name = next((c for c in rows.columns if c in binary and c.lower() in WKB_NAMES), None)
     if name is None:
@@ -153,6 +168,7 @@ def _split(spark: SparkSession, rows: DataFrame, srid: int | None) -> Layer:
     own = numbered(rows.drop(*drop, *(["fid"] if "fid" in rows.columns else [])), "fid")
     if srid is None:
         srid = _footer_srid(rows.inputFiles(), name)
+    own = _raw(own, name, srid, extent)
     geom = with_bbox(own.select("fid", normalised(F.col(f"`{name}`"), srid).alias("geom")))
     return Layer(cut(geom), own.select("fid", *[F.col(f"`{c}`") for c in own.columns if c not in ("fid", name)]))
 
@@ -168,12 +184,10 @@ def _footer_srid(files: list[str], geom: str) -> int:
 
 
 def load_clip(spark: SparkSession, layer: Layer, *paths: str, srid: int | None = None) -> DataFrame:
-    """(geom) of a second layer's shapes that meet the first one's extent; only those are normalised."""
+    """(geom) of a second layer's shapes that meet the first one's extent; rows whose raw boxes miss it are neither repaired nor kept."""
     box = layer.geom.agg(F.min("bbox.xmin"), F.min("bbox.ymin"), F.max("bbox.xmax"), F.max("bbox.ymax")).first()
     if box[0] is None:
         return spark.createDataFrame([], "geom binary")
-    other = load_layer(spark, *paths, srid=srid).geom
-    b = F.col("bbox")
-    near = other.where((b.xmin <= box[2]) & (b.xmax >= box[0]) & (b.ymin <= box[3]) & (b.ymax >= box[1]))
+    other = load_layer(spark, *paths, srid=srid, extent=tuple(box)).geom
     extent = geo("make_envelope", F.array(*map(F.lit, box)))
-    return near.where(geo("intersects", "geom", extent)).select("geom")
+    return other.where(_meets(F.col("bbox"), tuple(box)) & geo("intersects", "geom", extent)).select("geom")
