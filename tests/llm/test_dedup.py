@@ -31,6 +31,15 @@ def test_exact_groups_match_brute_force(spark):
             assert got[i].text_sha256 == hashlib.sha256(content.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("salts", [1, 64, 65, 200, 1024])
+def test_any_number_of_salts_gives_the_same_groups(spark, salts):
+    rows = [(i, f"t{i % 7}" if i % 3 else "hot", "k", 1) for i in range(2000)] + [(None, "Hot", "k", 1), (5, "t5", "k", 1)]
+    plain = sorted(map(str, exact_groups(make(spark, rows), block=3).collect()))
+    assert sorted(map(str, exact_groups(make(spark, rows), salts=salts, block=3).collect())) == plain
+    with pytest.raises(ValueError):
+        exact_groups(make(spark, rows), salts=5000)
+
+
 def test_exact_edges(spark):
     empty = make(spark, [])
     assert exact_groups(empty).count() == 0 and exact_dedup(empty).count() == 0
