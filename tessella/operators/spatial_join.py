@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import bbox_overlap, geo
+from tessella.session import column
 
 #: How much wider the cells of each level are than those of the one below.
 _STEP = 8
@@ -38,7 +39,7 @@ def _cells(df: DataFrame, name: str, cell: float, level: Column, reach: float) -
         return F.explode(F.sequence(F.floor((F.col(low) - reach) / width), F.floor((F.col(high) + reach) / width)))
 
     dealt = dealt.withColumn("_cx", span("bbox.xmin", "bbox.xmax")).withColumn("_cy", span("bbox.ymin", "bbox.ymax"))
-    return dealt.select(*[F.col(f"`{c}`").alias(f"{name}_{c}") for c in df.columns], *[F.col(c).alias(f"_{name}{c}") for c in ("_level", "_cx", "_cy")])
+    return dealt.select(*[column(c).alias(f"{name}_{c}") for c in df.columns], *[F.col(c).alias(f"_{name}{c}") for c in ("_level", "_cx", "_cy")])
 
 
 def _dealt(left: DataFrame, right: DataFrame, cell: float, top: int, reach: float) -> list[tuple[DataFrame, DataFrame]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions.geometry import equal_earth_area, geo, polygonal, register, union_agg
 from tessella.operators.components import components
 from tessella.operators.spatial_join import bbox_pairs, with_bbox
-from tessella.session import computation_failed, cut, numbered
+from tessella.session import column, computation_failed, cut, numbered
 
 #: Overlay parts below this many square degrees are residue (fixed value).
 CRUMB = 1e-12
@@ -53,7 +53,7 @@ def matching_mode(mode: str, code_on_both: bool, name_on_both: bool, **options)
 
 def code_expression(columns: list[str]) -> Column:
     """No column gives null, one its text, several their texts one after the other (nulls left out)."""
-    cols = [F.col(f"`{c}`").cast("string") for c in columns]
+    cols = [column(c).cast("string") for c in columns]
     return F.lit(None).cast("string") if not cols else cols[0] if len(cols) == 1 else F.concat_ws("", *cols)
 
 

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever it holds: dots, blanks, backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The context's checkpoint folder: the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary one."""
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessella.functions.geometry import geo, register
 from tessella.operators.spatial_join import with_bbox
-from tessella.session import cut, numbered
+from tessella.session import column, cut, numbered
 
 from . import flatgeobuf, formats
 
@@ -145,7 +145,7 @@ def _raw(rows: DataFrame, geom: str, srid: Column | int, extent: tuple[float, fl
     if extent is None:
         return rows
     srid = F.lit(srid) if isinstance(srid, int) else srid
-    return rows.where((srid != 4326) | _meets(geo("bbox", F.col(f"`{geom}`")), extent))
+    return rows.where((srid != 4326) | _meets(geo("bbox", column(geom)), extent))
 
 
 def _assemble(spark: SparkSession, rows: DataFrame, extent: tuple[float, float, float, float] | None = None) -> Layer:
@@ -169,8 +169,8 @@ def _split(spark: SparkSession, rows: DataFrame, srid: int | None, extent: tuple
     if srid is None:
         srid = _footer_srid(rows.inputFiles(), name)
     own = _raw(own, name, srid, extent)
-    geom = with_bbox(own.select("fid", normalised(F.col(f"`{name}`"), srid).alias("geom")))
-    return Layer(cut(geom), own.select("fid", *[F.col(f"`{c}`") for c in own.columns if c not in ("fid", name)]))
+    geom = with_bbox(own.select("fid", normalised(column(name), srid).alias("geom")))
+    return Layer(cut(geom), own.select("fid", *[column(c) for c in own.columns if c not in ("fid", name)]))
 
 
 def _footer_srid(files: list[str], geom: str) -> int:

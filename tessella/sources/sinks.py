@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.geometry import geo, register
+from tessella.session import column
 
 from . import flatgeobuf, formats
 
@@ -54,7 +55,7 @@ def stem(*names: str) -> str:
 def portable(df: DataFrame, *keep: str) -> DataFrame:
     """Columns whose types other formats lack as text: structs, maps, arrays, bytes and whole numbers beyond 64 bits."""
     def cell(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
+        c = column(f.name)
         if f.name in keep:
             return c
         if isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType)):
@@ -87,7 +88,7 @@ def feature_rows(rows: DataFrame) -> DataFrame:
     register(rows.sparkSession)
     own = rows.where(F.col("geom").isNotNull() & ~geo("is_empty", "geom"))
     names = [c for c in rows.columns if c not in ("geom", "bbox")]
-    props = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+    props = F.to_json(F.struct(*[column(c) for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
     return own.select(F.concat(F.lit('{"type":"Feature","geometry":'), geo("as_geojson", "geom"), F.lit(',"properties":'), props, F.lit("}")).alias("value"))
 
 

@@ -81,6 +81,15 @@ def test_csv_has_a_mark_and_header(spark, tmp_path):
     assert sinks.list_formats("changelog")[0] == ("CSV", ".csv") and sinks.stem("/x/a.geojson", "b.zip") == "a_b"
 
 
+def test_odd_column_names(spark, tmp_path):
+    (tmp_path / "o.geojson").write_text(collection((HOLED, {"a`b": 1, "c.d": "x", "e f": None})))
+    layer = layers.load_layer(spark, str(tmp_path / "o.geojson"))
+    assert layer.attrs.columns == ["fid", "a`b", "c.d", "e f"]
+    path = sinks.export("cleaned", ".parquet", str(tmp_path), layer.geom, layer.attrs, "odd")
+    back = layers.load_layer(spark, path).attrs.collect()
+    assert [tuple(r) for r in back] == [(1, 1, "x", None)]
+
+
 def test_projections(spark):
     register(spark)
     def there(lon, lat, srid):
