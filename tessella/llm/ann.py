@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, ship
+from .common import column, cut, ship
 
 #: Vectors that the index is fitted on, at most (in expectation).
 SAMPLE = 50_000
@@ -214,7 +214,7 @@ def nearest(
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     mark = F.expr(is_query) if isinstance(is_query, str) else is_query
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(mark, F.lit(False)).alias("q"))
+    rows = vectors.select(column(id_col).cast("long").alias("id"), column(vec_col).cast("array<double>").alias("v"), F.coalesce(mark, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v")))
     out_schema = "query_id long, rank int, vec_id long, score double"
     sizes = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import LETTERS, Memo, added_tokens, byte_symbols, chunks, folds, ignores_space, kept, load, plain_word, segments
-from .common import ship
+from .common import column, ship
 
 _NEVER = 1 << 60
 #: Windows of up to so many symbols are merged by scanning, longer ones with a heap.
@@ -293,7 +293,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -307,7 +307,7 @@ def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     ship(rows.sparkSession)
-    own = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    own = rows.select(column(id_col).cast("long").alias("id"), column(ids_col).cast("array<int>").alias("ids"))
     return own.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
@@ -350,5 +350,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             )
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -8,9 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import cut, ship, table
+from tessella.session import column, cut, ship, table
 
-__all__ = ["cut", "fresh", "lower_az", "narrow", "ship", "table"]
+__all__ = ["column", "cut", "fresh", "lower_az", "narrow", "ship", "table"]
 
 
 def lower_az(text: Column) -> Column:
@@ -31,4 +31,4 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def narrow(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+    return df.select(*[column(c) for c in cols])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import fresh, lower_az, narrow
+from .common import column, fresh, lower_az, narrow
 
 #: A group's salts travel as bit masks, one long for each 64 salts.
 MASK = 64
@@ -44,7 +44,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 1 <= salts <= MOST_SALTS:
         raise ValueError(f"salts must lie between 1 and {MOST_SALTS}")
     masks = [f"mask{k}" for k in range(-(-salts // MASK))]
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), lower_az(F.col(f"`{text_col}`")).alias("content"))
+    rows = docs.select(column(id_col).alias("id"), lower_az(column(text_col)).alias("content"))
     rows = rows.select(
         "id",
         "content",
@@ -88,12 +88,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fully repeated rows (same id and text) one stays.
     """
     def key(sha):
-        return F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit(":"), sha)
+        return F.concat(F.coalesce(column(id_col).cast("string"), F.lit("-")), F.lit(":"), sha)
 
     mark, once = fresh(docs, "row_key", "row_once")
     kept = exact_groups(docs, id_col, text_col, **options).where("kept").select(key(F.col("text_sha256")).alias(mark))
-    rows = docs.withColumn(mark, key(F.sha2(lower_az(F.col(f"`{text_col}`")), 256))).join(kept, mark, "left_semi")
+    rows = docs.withColumn(mark, key(F.sha2(lower_az(column(text_col)), 256))).join(kept, mark, "left_semi")
     # an id and text may stand in several rows that differ elsewhere: the first by the other columns stays
-    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)]))
-    rows = rows.withColumn(once, F.row_number().over(Window.partitionBy(mark).orderBy(others, f"`{text_col}`")))
+    others = F.to_json(F.struct(*[column(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)]))
+    rows = rows.withColumn(once, F.row_number().over(Window.partitionBy(mark).orderBy(others, column(text_col))))
     return narrow(rows.where(F.col(once) == 1), docs.columns)

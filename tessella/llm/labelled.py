@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 
 def held_out(id_col: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text is divisible by 5. A null id is held out."""
@@ -20,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     out; of several labels for one id the largest counts, of several texts the least. Texts stay
     in the tasks: models are fitted to what tasks make of them.
     """
-    own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+    own = labels.select(column(id_col).cast("long").alias("id"), column(label).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -30,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
         limit = F.when(F.col("label") == k, float(min(1.0, per_class[k] / n))).otherwise(limit)
     chosen = own.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < limit * (1 << 30))
     # the sample is bounded by its parameter, so it may be broadcast
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return rows, counts.get(1, 0) / sum(counts.values())
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, kept, segments
-from .common import cut, fresh, narrow, ship
+from .common import column, cut, fresh, narrow, ship
 
 #: Labelled rows of each language that the text model is fitted on, at most (in expectation).
 PER_LANGUAGE = 1024
@@ -108,7 +108,7 @@ def fit_language_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "d
     each trigram of a language. Rows without text or language don't count, repeated rows count
     as often as they stand there, and without labels every text is undetermined.
     """
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = docs.select(column(id_col).cast("long").alias("id"), F.lower(F.trim(column(lang_col))).alias("lang"), column(text_col).cast("string").alias("text"))
     own = own.where("lang is not null and lang != '' and lang != 'und' and text is not null")
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -186,14 +186,14 @@ def identify_languages(
             )
 
     def text_or_null(name: str | None) -> Column:
-        return F.lower(F.trim(F.col(f"`{name}`").cast("string"))) if name else F.lit(None).cast("string")
+        return F.lower(F.trim(column(name).cast("string"))) if name else F.lit(None).cast("string")
 
     rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"),
-        F.col(f"`{text_col}`").cast("string").alias("text"),
+        column(id_col).cast("long").alias("id"),
+        column(text_col).cast("string").alias("text"),
         F.nullif(text_or_null(host_col), F.lit("")).alias("host"),
         F.nullif(F.regexp_extract(text_or_null(markup_col), "^[a-z]+", 0), F.lit("")).alias("markup"),
-        F.xxhash64(F.col(f"`{text_col}`")).alias("tag"),
+        F.xxhash64(column(text_col)).alias("tag"),
     )
     seen = cut(rows.mapInArrow(run, "id long, host string, markup string, tag long, n_words long, " + ", ".join(f"{x}{j} double" for x in "lp" for j in range(k))))
     seen = seen.select("*", F.when(F.size(F.split("host", r"\.")) > 1, F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("domain"))
@@ -242,18 +242,18 @@ def keep_identified(docs: DataFrame, model: TrigramBayes, id_col: str = "doc_id"
     """
     out = identify_languages(docs, model, id_col, text_col, host_col, markup_col, least, key_text=True).where("not accepted")
     a, b = fresh(docs, "out_id", "out_tag")
-    gone = out.select(F.col(f"`{id_col}`").alias(a), F.col("tag").alias(b)).distinct()
-    rows = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(b)), "left_anti")
+    gone = out.select(column(id_col).alias(a), F.col("tag").alias(b)).distinct()
+    rows = docs.join(gone, column(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(column(text_col)) == F.col(b)), "left_anti")
     return narrow(rows, docs.columns)
 
 
 def pages_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, text, host, markup) of raw pages: text without scripts, styles, comments and tags; the host of the address; the language that the html tag declares."""
-    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    html = F.coalesce(column(html_col), F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     return pages.select(
-        F.col(f"`{id_col}`").alias(id_col),
+        column(id_col).alias(id_col),
         F.regexp_replace(text, r"&(#?\w+);", " ").alias("text"),
-        F.nullif(F.regexp_extract(F.lower(F.col(f"`{url_col}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")).alias("host"),
+        F.nullif(F.regexp_extract(F.lower(column(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")).alias("host"),
         F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit("")).alias("markup"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, added_tokens, chunks, encoder, folds, ignores_space, kept, load, segments
-from .common import cut, ship
+from .common import column, cut, ship
 
 #: Open bins of a task.
 OPEN = 4096
@@ -141,7 +141,7 @@ def pack(
         yield rows(held, True)
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     placed = cut(rows.mapInArrow(run, _PIECES))
     return _again(placed, size, open_bins, round_bins).withColumnRenamed("id", id_col)
 

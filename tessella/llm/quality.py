@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import segments
-from .common import ship
+from .common import column, ship
 from .labelled import held_out, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
@@ -230,6 +230,6 @@ def score_quality(docs: DataFrame, model: BoostedTrees, threshold: float = THRES
             x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x))], ["id", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(run, "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.components import components
 
-from .common import cut, fresh, ship
+from .common import column, cut, fresh, ship
 
 SEED = 42
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
 
@@ -359,5 +359,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = simhash_components(docs, id_col, text_col, **options)
     (mark,) = fresh(docs, "gone_id")
-    gone = names.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias(mark)).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(mark), "left_anti")
+    gone = names.where(column(id_col) != F.col("component_id")).select(column(id_col).alias(mark)).distinct()
+    return docs.join(gone, column(id_col) == F.col(mark), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, added_tokens, chunks, encoder, folds, ignores_space, kept, load, segments
-from .common import ship
+from .common import column, ship
 
 #: Entries of the broadcast table; each is a chunk of at most 48 characters and a length.
 FREQUENT = 32_768
@@ -61,7 +61,7 @@ def frequent_chunks(docs: DataFrame, text_col: str, size: int = FREQUENT) -> lis
         words, n = _top(total, size)
         return pa.table({"part": pa.array([group.column("part")[0].as_py() // _FAN_IN], pa.int64()), "words": pa.array([words], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(column(text_col).alias("text"))
     parts = rows.rdd.getNumPartitions()
     found = rows.mapInArrow(summarise, schema)
     while True:
@@ -136,6 +136,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(count, "id long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

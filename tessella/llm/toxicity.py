@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, chunks, kept, segments
-from .common import cut, ship
+from .common import column, cut, ship
 from .labelled import held_out, labelled_sample, platt
 
 #: Labelled rows of class 0 and of class 1 that a model is fitted on, at most (in expectation).
@@ -247,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id
             found = _margins(shared.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(found[:, 0])), pa.array(_logistic(found[:, 1]))], ["id", "score", "bag_score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(run, "id long, score double, bag_score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "bag_score")
 
@@ -266,7 +266,9 @@ def drop_toxic(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", l
         for b in batches:
             yield b.filter(pa.array(shared.value.score(_margins(shared.value, b.column(at).to_pylist())[:, 0]) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    # a column's name may hold what the call can't take, so columns go through it under plain names
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:

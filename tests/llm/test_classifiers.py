@@ -1,11 +1,17 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from tessella.llm.common import table
 from tessella.llm.langid import TrigramBayes, fit_language_model, identify_languages, keep_identified, pages_evidence
 from tessella.llm.quality import STATISTICS, BoostedTrees, fit_quality, score_quality, statistics
 
+SF = "/root/testdata/sf0.01"
+
 
 def naive_score(model, row):
     out = model.base
@@ -160,3 +166,13 @@ def test_rare_languages_are_kept_and_slips_take_nothing(spark):
     assert {5000, 5001} <= {r.doc_id for r in keep_identified(docs, model, host_col="source").collect()}
     assert all(got[i].language == k and got[i].accepted for i, _, k, _ in rows[:3997])
     assert got[5003].language in ("en", "de") and got[5004].language == "und"  # no words: the host decides
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_languages_of_rows_left_out_of_the_fit(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit_language_model(docs.where(~out))
+    got = identify_languages(docs, model, host_col="source").join(docs.where(out), "doc_id")
+    right, every = got.agg(F.count_if(F.col("language") == F.col("lang")), F.count(F.lit(1))).first()
+    assert every and right >= 0.95 * every

@@ -74,3 +74,31 @@ def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_stages_take_odd_columns_nulls_repeats_and_empty_tables(spark):
+    own = table(spark, SF, "documents")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", `a``b` string, `x.y` int, id long, text_sha256 string"
+
+    def row(i, text, *more):
+        return tuple({"doc_id": i, "text": text, "source": "src0", "lang": "en"}.get(c) for c in kinds) + more
+
+    prose = own.where("lang = 'en'").orderBy("doc_id").first().text
+    rows = [row(-1, prose, "b", 1, 7, "s"), row(-1, prose, "b", 1, 7, "s"), row(None, prose + " and more of it", None, None, None, None), row(-2, "", "c", 2, 8, None), row(-3, None, "c", 2, 8, None)]
+    extra = spark.createDataFrame(rows, schema)
+    docs = own.unionByName(extra, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        ids = [r.doc_id for r in kept.select("doc_id").collect()]
+        if name in ("toxicity", "language_id"):
+            assert ids.count(-1) == 2 and None in ids, name
+        elif name == "exact_dedup":
+            # the row of the documents has the largest id of the equal texts; of the two that are empty, -2 stays
+            assert -1 not in ids and None in ids and -2 in ids and -3 not in ids
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF)
+    assert packed.where("doc_id in (-2, -3)").count() == 2 and packed.where("doc_id = -1 and piece = 0").count() == 2
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), SF).count() == 0
