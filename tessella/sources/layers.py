@@ -148,9 +148,15 @@ def _raw(rows: DataFrame, geom: str, srid: Column | int, extent: tuple[float, fl
     return rows.where((srid != 4326) | _meets(geo("bbox", column(geom)), extent))
 
 
+def _json_schema(spark: SparkSession, texts: DataFrame) -> T.StructType:
+    """The schema of JSON texts, inferred in the JVM."""
+    held = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(held).schema().json()))
+
+
 def _assemble(spark: SparkSession, rows: DataFrame, extent: tuple[float, float, float, float] | None = None) -> Layer:
     own = cut(_raw(numbered(rows, "fid"), "geom", F.col("srid"), extent))
-    schema = spark.read.json(own.where("props is not null").select("props").rdd.map(lambda r: r[0])).schema
+    schema = _json_schema(spark, own.where("props is not null").select("props"))
     geom = with_bbox(own.select("fid", normalised(F.col("geom"), F.col("srid")).alias("geom")))
     # a property of that name is none: rows are counted anew
     kept = [c for c in schema.names if c.lower() != "fid"]
@@ -167,20 +173,24 @@ def _split(spark: SparkSession, rows: DataFrame, srid: int | None, extent: tuple
     drop = [f.name for f in rows.schema if isinstance(f.dataType, T.StructType) and (f.name.endswith("_bbox") or f.name == "bbox")]
     own = numbered(rows.drop(*drop, *(["fid"] if "fid" in rows.columns else [])), "fid")
     if srid is None:
-        srid = _footer_srid(rows.inputFiles(), name)
+        srid = _footer_srid(spark, rows.inputFiles(), name)
     own = _raw(own, name, srid, extent)
     geom = with_bbox(own.select("fid", normalised(column(name), srid).alias("geom")))
     return Layer(cut(geom), own.select("fid", *[column(c) for c in own.columns if c not in ("fid", name)]))
 
 
-def _footer_srid(files: list[str], geom: str) -> int:
-    """Only local footers are looked at; for others ``srid`` says it."""
-    import pyarrow.parquet as pq
-
-    path = files[0].removeprefix("file://") if files else ""
-    if path.startswith("/") and os.path.exists(path):
-        return _declared(pq.read_metadata(path).metadata or {}, geom)
-    return 4326
+def _footer_srid(spark: SparkSession, files: list[str], geom: str) -> int:
+    """The system that the first file's footer declares, wherever the file lies; only the footer is read."""
+    if not files:
+        return 4326
+    jvm = spark._jvm
+    at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), spark._jsparkSession.sessionState().newHadoopConf())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+    try:
+        found = reader.getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    return _declared({b"geo": found.encode()} if found else {}, geom)
 
 
 def load_clip(spark: SparkSession, layer: Layer, *paths: str, srid: int | None = None) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import io
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.functions.geometry import geo, register
-from tessella.session import column
+from tessella.session import column, ship
 
 from . import flatgeobuf, formats
 
@@ -39,6 +43,10 @@ SPATIAL_FORMATS = (("GeoPackage", ".gpkg", 0), ("Shapefile", ".shp.zip", 1), ("G
 TABLE_FORMATS = (("CSV", ".csv", 0), ("Parquet", ".parquet", 1))
 
 
+#: Bytes handed to the file system at once; rows and bytes of a row group.
+_PIECE, _GROUP_ROWS, _GROUP_BYTES = 1 << 22, 122_880, 1 << 27
+
+
 def list_formats(source: str) -> list[tuple[str, str]]:
     """(label, extension) of the formats that a source can be saved in."""
     every = SPATIAL_FORMATS if EXPORTS[source].spatial else TABLE_FORMATS
@@ -94,20 +102,47 @@ def feature_rows(rows: DataFrame) -> DataFrame:
 
 def geojson(rows: DataFrame) -> str:
     """One FeatureCollection as text, for results of a size that a file holds; ``feature_rows`` writes any size line by line."""
-    lines = [r.value for r in feature_rows(rows).toLocalIterator()]
-    return '{"type":"FeatureCollection","features":[' + ",".join(lines) + "]}"
+    return "".join(_collection(rows))
+
+
+def _collection(rows: DataFrame) -> Iterator[str]:
+    yield '{"type":"FeatureCollection","features":['
+    for n, r in enumerate(feature_rows(rows).toLocalIterator()):
+        yield f",{r.value}" if n else r.value
+    yield "]}"
+
+
+class _Target(io.RawIOBase):
+    """A new file wherever Spark can write; what is written leaves the driver in pieces."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        data = bytes(data)
+        for k in range(0, len(data), _PIECE):
+            self._out.write(data[k : k + _PIECE])
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            super().close()
+            self._out.close()
+
+
+def target_file(spark: SparkSession, path: str) -> io.BufferedWriter:
+    """A buffered binary file to write, on any file system that Spark writes to."""
+    return io.BufferedWriter(_Target(spark, path), _PIECE)
 
 
 def save_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes one file wherever Spark can write."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
-    try:
-        for k in range(0, len(data), 1 << 22):
-            out.write(data[k : k + (1 << 22)])
-    finally:
-        out.close()
+    with target_file(spark, path) as out:
+        out.write(data)
 
 
 def _kinds(rows: DataFrame) -> dict[str, str]:
@@ -118,8 +153,9 @@ def _kinds(rows: DataFrame) -> dict[str, str]:
 def export(source: str, extension: str, path: str, rows: DataFrame, attrs: DataFrame | None = None, name: str = "layer") -> str:
     """Saves a source as one file, ``path`` being a folder; returns the file's path.
 
-    Vector files other than GeoParquet hold multi-geometries and are put together on the
-    driver, as their formats can't be written in parts.
+    CSV, GeoJSON and Parquet pass through the driver a partition at a time and are written as
+    they come. The other vector files hold multi-geometries and are put together on the driver,
+    as their formats have to know all features first.
     """
     spec, spark = EXPORTS[source], rows.sparkSession
     if extension not in [e for _, e in list_formats(source)]:
@@ -130,15 +166,16 @@ def export(source: str, extension: str, path: str, rows: DataFrame, attrs: DataF
     if extension == ".csv":
         import csv
 
-        text = io.StringIO()
-        writer = csv.writer(text, lineterminator="\n")
-        writer.writerow(own.columns)
-        writer.writerows(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in r] for r in own.toLocalIterator())
-        save_bytes(spark, target, b"\xef\xbb\xbf" + text.getvalue().encode())
+        with io.TextIOWrapper(target_file(spark, target), "utf-8-sig", newline="") as text:
+            writer = csv.writer(text, lineterminator="\n")
+            writer.writerow(own.columns)
+            writer.writerows(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in r] for r in own.toLocalIterator())
     elif extension == ".geojson":
-        save_bytes(spark, target, geojson(own).encode())
+        with target_file(spark, target) as out:
+            out.writelines(x.encode() for x in _collection(own))
     elif extension == ".parquet":
-        save_bytes(spark, target, _parquet(own, spec.spatial))
+        with target_file(spark, target) as out:
+            _parquet(own, spec.spatial, out)
     else:
         own = own.withColumn("geom", geo("multi", "geom"))
         kinds = _kinds(own)
@@ -148,15 +185,38 @@ def export(source: str, extension: str, path: str, rows: DataFrame, attrs: DataF
     return target
 
 
-def _parquet(own: DataFrame, spatial: bool) -> bytes:
-    import pyarrow.parquet as pq
+def _arrow_tables(own: DataFrame) -> Iterator[pa.Table]:
+    """The rows as Arrow tables in their order, put together in tasks; the driver holds one partition's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as stream:
+                stream.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    ship(own.sparkSession)
+    plain = own.toDF(*(f"c{i}" for i in range(len(own.columns))))
+    for r in plain.mapInArrow(run, "data binary").toLocalIterator():
+        yield pa.ipc.open_stream(r.data).read_all()
+
 
-    table = own.toArrow()
+def _parquet(own: DataFrame, spatial: bool, out: io.BufferedWriter) -> None:
+    schema = to_arrow_schema(own.schema)
     if spatial:
-        types = [r[0] for r in own.select(geo("kind", "geom")).distinct().collect()]
-        table = table.rename_columns(["geometry" if c == "geom" else c for c in table.column_names])
-        meta = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": sorted(types)}}}
-        table = table.replace_schema_metadata({**(table.schema.metadata or {}), b"geo": json.dumps(meta).encode()})
-    out = io.BytesIO()
-    pq.write_table(table, out, compression="zstd", compression_level=15)
-    return out.getvalue()
+        types = sorted(r[0] for r in own.select(geo("kind", "geom")).distinct().collect())
+        meta = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": types}}}
+        schema = pa.schema([f.with_name("geometry") if f.name == "geom" else f for f in schema], {b"geo": json.dumps(meta).encode()})
+    held: list[pa.Table] = []
+    with pq.ParquetWriter(out, schema, compression="zstd", compression_level=15) as writer:
+
+        def flush() -> None:
+            if held:
+                writer.write_table(pa.concat_tables(held), row_group_size=_GROUP_ROWS)
+                held.clear()
+
+        for t in _arrow_tables(own):
+            held.append(t.rename_columns(schema.names).cast(schema))
+            if sum(t.nbytes for t in held) > _GROUP_BYTES or sum(map(len, held)) >= _GROUP_ROWS:
+                flush()
+        flush()

@@ -3,6 +3,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions.geometry import geo, register
 from tessella.sources import flatgeobuf, formats, layers, sinks
@@ -114,3 +115,28 @@ def test_flatgeobuf_without_features_and_dbf_names():
     assert flatgeobuf.read(flatgeobuf.write([], "l", {"a": "TEXT"})) == ([], 4326)
     rows = formats.read_dbf(formats.write_dbf([{"a_long_name_1": 1, "a_long_name_2": None}], {"a_long_name_1": "INTEGER", "a_long_name_2": "TEXT"}))
     assert list(rows[0].values()) == [1, None] and len(rows[0]) == 2
+
+
+def test_parquet_keeps_types_and_order_over_partitions(spark, tmp_path):
+    rows = spark.range(0, 30_000, 1, 7).selectExpr("id", "cast(id % 9 as decimal(20, 2)) as `d.d`", "timestamp'2024-07-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as t", "if(id % 3 = 0, null, date'2024-02-29') as day", "array(id) as list")
+    path = sinks.export("changelog", ".parquet", str(tmp_path), rows)
+    back = spark.read.parquet(path)
+    assert [(f.name, f.dataType.simpleString()) for f in back.schema] == [("id", "bigint"), ("d.d", "decimal(20,2)"), ("t", "timestamp"), ("day", "date"), ("list", "string")]
+    assert back.collect() == sinks.portable(rows).collect()
+    empty = sinks.export("changelog", ".parquet", str(tmp_path / "none"), rows.limit(0))
+    assert spark.read.parquet(empty).count() == 0
+    lines = open(sinks.export("changelog", ".csv", str(tmp_path), rows.select("id", "day")), encoding="utf-8-sig", newline="").read().split("\n")
+    assert lines[:3] == ["id,day", "0,", "1,2024-02-29"] and len(lines) == 30_002
+
+
+def test_parquet_footer_declares_its_system(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    register(spark)
+    point = bytes(spark.range(1).select(geo("from_text", F.lit("POINT (0 0)"))).first()[0])
+    for code in (3857, 4326):
+        crs = {"id": {"authority": "EPSG", "code": code}}
+        meta = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"], "crs": crs}}}
+        pq.write_table(pa.table({"geometry": [point]}).replace_schema_metadata({"geo": json.dumps(meta)}), str(tmp_path / f"{code}.parquet"))
+        assert layers._footer_srid(spark, spark.read.parquet(str(tmp_path / f"{code}.parquet")).inputFiles(), "geometry") == code
