@@ -111,24 +111,26 @@ def sample_points(a: DataFrame, lattice: int = LATTICE) -> DataFrame:
     return own.select("fid", F.explode(every).alias("p")).select("fid", "p.x", "p.y")
 
 
-def _hits(points: DataFrame, units: DataFrame) -> DataFrame:
-    pts = points.select("fid", geo("make_point", "x", "y").alias("geom"), F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")).alias("bbox"))
-    found = bbox_pairs(pts, units.select("fid", "geom", "bbox"), predicate="within")
-    return found.groupBy(F.col("a_fid").alias("own"), F.col("b_fid").alias("other")).agg(F.count(F.lit(1)).alias("hits"))
+def _sampled(x: DataFrame, lattice: int, area) -> DataFrame:
+    """(fid, geom, bbox, lattice, n, area): a unit with what its sample points are drawn from, their number, and its area."""
+    box, p = F.col("bbox"), geo("point_on_surface", "geom")
+    corners = [box.xmin, box.ymin, box.xmax, box.ymax]
+    own = x.where("geom is not null and bbox is not null").select("fid", "geom", "bbox", F.array(*corners, geo("x", p), geo("y", p)).alias("lattice"), area("geom").alias("area"))
+    # a unit stands in up to four cells and has many partners, and is to be counted once
+    return cut(own.withColumn("n", geo("samples", "geom", "lattice", F.lit(lattice))))
 
 
 def sampled_pairs(a: DataFrame, b: DataFrame, lattice: int = LATTICE, area=equal_earth_area) -> DataFrame:
-    """The pair table estimated from sample points of both sides; the shared area is A's coverage times A's area, or else B's."""
-    pa, pb = (cut(sample_points(x, lattice)) for x in (a, b))
-    totals = [p.groupBy("fid").agg(F.count(F.lit(1)).alias("n")) for p in (pa, pb)]
-    ha = _hits(pa, b).select(F.col("own").alias("a_fid"), F.col("other").alias("b_fid"), F.col("hits").alias("h_a"))
-    hb = _hits(pb, a).select(F.col("other").alias("a_fid"), F.col("own").alias("b_fid"), F.col("hits").alias("h_b"))
-    ha = ha.join(totals[0].select(F.col("fid").alias("a_fid"), F.col("n").alias("n_a")), "a_fid")
-    hb = hb.join(totals[1].select(F.col("fid").alias("b_fid"), F.col("n").alias("n_b")), "b_fid")
-    keys = ha.select("a_fid", "b_fid").union(hb.select("a_fid", "b_fid")).distinct()
-    own = [x.select(F.col("fid").alias(f"{n}_fid"), area("geom").alias(f"area_{n}")) for n, x in (("a", a), ("b", b))]
-    rows = keys.join(ha, ["a_fid", "b_fid"], "left").join(hb, ["a_fid", "b_fid"], "left").join(own[0], "a_fid").join(own[1], "b_fid")
-    rows = rows.withColumn("cov_a", F.coalesce(F.col("h_a") / F.nullif(F.col("n_a"), F.lit(0)), F.lit(0.0))).withColumn("cov_b", F.coalesce(F.col("h_b") / F.nullif(F.col("n_b"), F.lit(0)), F.lit(0.0)))
+    """The pair table estimated from sample points of both sides; the shared area is A's coverage times A's area, or else B's.
+
+    Units whose boxes meet are joined, not points: a pair draws the points of its two units and
+    counts those that lie in the other one, so that no point is ever a row.
+    """
+    register(a.sparkSession)
+    pairs = bbox_pairs(_sampled(a, lattice, area), _sampled(b, lattice, area))
+    hits = [geo("sample_hits", f"{x}_geom", f"{x}_lattice", F.lit(lattice), f"{y}_geom") for x, y in ("ab", "ba")]
+    rows = pairs.select("a_fid", "b_fid", F.col("a_area").alias("area_a"), F.col("b_area").alias("area_b"), "a_n", "b_n", hits[0].alias("h_a"), hits[1].alias("h_b")).where("h_a > 0 or h_b > 0")
+    rows = rows.withColumn("cov_a", F.col("h_a") / F.col("a_n")).withColumn("cov_b", F.col("h_b") / F.col("b_n"))
     shared = F.col("cov_a") * F.col("area_a")
     return rows.select("a_fid", "b_fid", shared.alias("shared_area"), F.col("cov_a").alias("coverage_a"), F.col("cov_b").alias("coverage_b"), (shared / F.nullif(F.col("area_a") + F.col("area_b") - shared, F.lit(0.0))).alias("iou"))
 

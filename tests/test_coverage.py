@@ -127,6 +127,27 @@ def test_sampling_is_close_to_exact(spark):
         change.compare(a, b, ChangeOptions(same=0.995), "sampling")
 
 
+def test_sampling_joins_units_and_counts_points_as_a_plain_join_does(spark, monkeypatch):
+    register(spark)
+    shapes = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))", "POLYGON ((1 1, 9 1, 5 8, 1 1))", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)), ((6 6, 8 6, 8 8, 6 6)))", "POLYGON EMPTY", None, "POLYGON ((4 0, 5 0, 5 4, 4 4, 4 0))"]
+    df = spark.createDataFrame(list(enumerate(shapes)), "fid long, t string").select("fid", geo("from_text", "t").alias("geom")).withColumn("bbox", geo("bbox", "geom"))
+    a, b = df.where("fid != 1"), df.withColumn("fid", F.col("fid") + 10).where("fid != 10")
+    wanted = {}
+    for n, x, y in (("a", a, b), ("b", b, a)):
+        points = change.sample_points(x, 7)
+        total = {r.fid: r["count"] for r in points.groupBy("fid").count().collect()}
+        pairs = points.crossJoin(y.select(F.col("fid").alias("o"), "geom")).where(geo("within", geo("make_point", "x", "y"), "geom")).groupBy("fid", "o").count()
+        for r in pairs.collect():
+            key = (r.fid, r.o) if n == "a" else (r.o, r.fid)
+            wanted.setdefault(key, {"a": 0.0, "b": 0.0})[n] = r["count"] / total[r.fid]
+    held, before = [], change.cut
+    monkeypatch.setattr(change, "cut", lambda x: held.append(before(x)) or held[-1])
+    rows = change.sampled_pairs(a, b, 7, change.planar_area).collect()
+    assert {(r.a_fid, r.b_fid): {"a": r.coverage_a, "b": r.coverage_b} for r in rows} == wanted and len(wanted) > 5
+    # points are never rows: what is kept on the way has a row for each unit
+    assert max(x.count() for x in held) <= df.count()
+
+
 def test_overlay_and_only(spark):
     a, b = matrix(spark)
     rest = {r.fid: r.area for r in change.only(a, b).select("fid", geo("area", "geom").alias("area")).collect()}
