@@ -192,6 +192,18 @@ def test_small_boxes_never_meet_above_their_level(spark):
     assert got == {(min(p), max(p)) for p in want}
 
 
+def test_long_boxes_raise_no_candidates_across_them(spark, monkeypatch):
+    """Many long boxes among small ones, as at the rim of a grown coverage: candidates stay near the pairs that meet."""
+    from tessella.operators import spatial_join as sj
+
+    layer = boxes(spark, [(x, y, x + 3, y + 3) if x else (-900, y, 3, y + 3) for y in range(0, 900, 3) for x in range(0, 30, 3)])
+    joined, dealt = [], sj._dealt
+    monkeypatch.setattr(sj, "_dealt", lambda *a: joined.extend(dealt(*a)) or joined)
+    met = bbox_pairs(layer, layer).count()
+    candidates = sum(a.join(b, [F.col(f"_a_{c}") == F.col(f"_b_{c}") for c in ("level", "cx", "cy")]).count() for a, b in joined)
+    assert met == 10 * 300 + 2 * (9 * 300 + 10 * 299 + 2 * 9 * 299) and candidates < 20 * met
+
+
 def test_joins_without_geometry(spark):
     a, none = boxes(spark, MATRIX_A), boxes(spark, MATRIX_A).limit(0)
     lost = a.withColumn("geom", F.lit(None).cast("binary")).withColumn("bbox", geo("bbox", "geom"))
