@@ -140,3 +140,67 @@ def test_parquet_footer_declares_its_system(spark, tmp_path):
         meta = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"], "crs": crs}}}
         pq.write_table(pa.table({"geometry": [point]}).replace_schema_metadata({"geo": json.dumps(meta)}), str(tmp_path / f"{code}.parquet"))
         assert layers._footer_srid(spark, spark.read.parquet(str(tmp_path / f"{code}.parquet")).inputFiles(), "geometry") == code
+
+
+def test_large_files_are_made_in_tasks(spark, tmp_path, monkeypatch):
+    """What passes through the driver are parts that tasks made, never features; shapes, numbers and widths fit over all parts."""
+    register(spark)
+    monkeypatch.setattr(sinks, "_PART", 3)
+    rows = spark.range(0, 20, 1, 5).select((F.col("id") + 1).alias("fid"), geo("make_envelope", F.array(*(F.col("id").cast("double") + i for i in (0, 0, 1, 1)))).alias("geom"))
+    attrs = rows.select("fid", F.when(F.col("fid") % 4 > 0, F.repeat(F.lit("é"), F.col("fid").cast("int"))).alias("a<b"), (F.pow(F.lit(10), F.col("fid")) / 4).alias("x"), F.expr("timestamp'2024-07-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, fid)").alias("t"))
+    for extension in (".shp.zip", ".kml", ".gml"):
+        with monkeypatch.context() as m:
+            here = os.getpid()
+            read = sinks.formats.parse_wkb
+            m.setattr(sinks.formats, "parse_wkb", lambda g: read(g) if os.getpid() != here else pytest.fail("a shape was taken apart on the driver"))
+            path = sinks.export("cleaned", extension, str(tmp_path), rows, attrs, "many")
+        back = layers.load_layer(spark, path).joined().select("*", geo("area", "geom").alias("area"), geo("x", geo("centroid", "geom")).alias("mid")).orderBy("fid").collect()
+        assert [(r.fid, r.area, r.mid) for r in back] == [(i, 1.0, i - 0.5) for i in range(1, 21)]
+        text = next(c for c in back[0].asDict() if c in ("a<b", "a_b"))
+        assert [r[text] for r in back] == ["é" * i if i % 4 else None for i in range(1, 21)]
+        assert [float(r.x) for r in back] == [10.0**i / 4 for i in range(1, 21)] and str(back[0].t) == "2024-07-01 12:00:01"
+    with zipfile.ZipFile(tmp_path / "many_cleaned.shp.zip") as z:
+        shp, shx = z.read("many_cleaned.shp"), z.read("many_cleaned.shx")
+    import struct
+
+    assert struct.unpack_from(">i", shp, 24)[0] * 2 == len(shp) and struct.unpack_from("<4d", shp, 36) == (0, 0, 20, 20) and len(shx) == 100 + 8 * 20
+    for i in range(20):
+        at, size = struct.unpack_from(">2i", shx, 100 + 8 * i)
+        assert struct.unpack_from(">2i", shp, 2 * at) == (i + 1, size)
+    none = layers.load_layer(spark, sinks.export("cleaned", ".shp.zip", str(tmp_path / "none"), rows.limit(0), attrs))
+    assert none.geom.count() == 0
+
+
+KML = """<?xml version="1.0" encoding="{}"?>
+<!DOCTYPE kml [<!ENTITY who "Zoë &amp; co">]><!-- <Placemark> no mark </Placemark> -->
+<k:kml xmlns:k="http://www.opengis.net/kml/2.2" note='a>"b'><k:Document><k:Folder><k:Placemark/>
+<k:Placemark id="x>y"><k:name>&who; 1 > 0</k:name><k:Point><k:coordinates>1,2</k:coordinates></k:Point></k:Placemark ></k:Folder>
+<k:Folder><k:Placemark><k:description><![CDATA[</Placemark> é]]></k:description><k:ExtendedData><k:Data name="n"><k:value>7</k:value></k:Data></k:ExtendedData></k:Placemark></k:Folder></k:Document></k:kml> <!-- end > -->
+"""
+GML = """<?xml version="1.0" encoding="{}"?><g:FeatureCollection xmlns:g="http://www.opengis.net/gml"><g:boundedBy><g:Null>a</g:Null></g:boundedBy>
+<g:featureMember xmlns:o="urn:o"><o:t><o:n>ü</o:n><g:Point><g:pos>1 2</g:pos></g:Point></o:t></g:featureMember>
+<g:featureMembers><t><n>2</n><!-- </t> --></t><t/><t><n><![CDATA[<t>]]></n></t></g:featureMembers></g:FeatureCollection>
+"""
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "iso-8859-1", "utf-16"])
+@pytest.mark.parametrize("text,kind", [(KML, ".kml"), (GML, ".gml")])
+def test_xml_in_pieces_reads_as_a_whole(encoding, text, kind):
+    data = text.format(encoding).encode(encoding)
+    reader = {".kml": formats.read_kml, ".gml": formats.read_gml}[kind]
+    want = reader(data)
+    assert len(want) == (3 if kind == ".kml" else 4)
+    cuts = [data[i : j + 1] for i, j in zip([0, *(k + 1 for k, b in enumerate(data) if b == 62)], [k for k, b in enumerate(data) if b == 62])] + [data[data.rindex(b">") + 1 :] + b">"]
+    for most in (1, 2, 1000):
+        for pieces in ([data], cuts, [b"".join(cuts[k : k + 3]) for k in range(0, len(cuts), 3)]):
+            assert [f for d in formats.xml_documents(pieces, kind, most) for f in reader(d)] == want
+    with pytest.raises(Exception):
+        list(formats.xml_documents(cuts[: len(cuts) // 2], kind))
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "iso-8859-1"])
+def test_xml_layers_of_any_encoding(spark, tmp_path, encoding):
+    (tmp_path / "a.gml").write_bytes(GML.format(encoding).encode(encoding))
+    assert [(r.fid, r.n) for r in layers.load_layer(spark, str(tmp_path / "a.gml")).attrs.orderBy("fid").collect()] == [(1, "ü"), (2, "2"), (3, None), (4, "<t>")]
+    (tmp_path / "a.kml").write_bytes(KML.format(encoding).encode(encoding))
+    assert [r.name for r in layers.load_layer(spark, str(tmp_path / "a.kml")).attrs.orderBy("fid").collect()] == [None, "Zoë & co 1 > 0", None]
