@@ -69,10 +69,15 @@ def planar_area(geom: Column | str) -> Column:
 
 
 def overlay(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_fid, b_fid, geom): the polygonal common part of every pair that has one."""
-    pairs = bbox_pairs(a.select("fid", "geom", "bbox"), b.select("fid", "geom", "bbox"), predicate="intersects")
-    parts = pairs.select("a_fid", "b_fid", polygonal(geo("intersection", "a_geom", "b_geom")).alias("geom"))
-    return parts.where(geo("area", "geom") >= CRUMB)
+    """(a_fid, b_fid, geom): the polygonal common part of every pair that has one.
+
+    Boxes that only touch, as those of all neighbours in a tiling do, have no area in common.
+    """
+    pairs = bbox_pairs(a.select("fid", "geom", "bbox"), b.select("fid", "geom", "bbox"))
+    p, q = F.col("a_bbox"), F.col("b_bbox")
+    deep = (F.greatest(p.xmin, q.xmin) < F.least(p.xmax, q.xmax)) & (F.greatest(p.ymin, q.ymin) < F.least(p.ymax, q.ymax))
+    # a generator, as a filter on a part would be pushed below and compute it twice
+    return pairs.where(deep).select("a_fid", "b_fid", F.explode(geo("common_part", "a_geom", "b_geom", F.lit(CRUMB))).alias("geom"))
 
 
 def only(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,7 +120,9 @@ def _sampled(x: DataFrame, lattice: int, area) -> DataFrame:
     """(fid, geom, bbox, lattice, n, area): a unit with what its sample points are drawn from, their number, and its area."""
     box, p = F.col("bbox"), geo("point_on_surface", "geom")
     corners = [box.xmin, box.ymin, box.xmax, box.ymax]
-    own = x.where("geom is not null and bbox is not null").select("fid", "geom", "bbox", F.array(*corners, geo("x", p), geo("y", p)).alias("lattice"), area("geom").alias("area"))
+    # dealt anew, as a file may hold all units in a few row groups
+    own = x.where("geom is not null and bbox is not null").select("fid", "geom", "bbox").repartition("fid")
+    own = own.select("fid", "geom", "bbox", F.array(*corners, geo("x", p), geo("y", p)).alias("lattice"), area("geom").alias("area"))
     # a unit stands in up to four cells and has many partners, and is to be counted once
     return cut(own.withColumn("n", geo("samples", "geom", "lattice", F.lit(lattice))))
 
@@ -128,9 +135,10 @@ def sampled_pairs(a: DataFrame, b: DataFrame, lattice: int = LATTICE, area=equal
     """
     register(a.sparkSession)
     pairs = bbox_pairs(_sampled(a, lattice, area), _sampled(b, lattice, area))
-    hits = [geo("sample_hits", f"{x}_geom", f"{x}_lattice", F.lit(lattice), f"{y}_geom") for x, y in ("ab", "ba")]
-    rows = pairs.select("a_fid", "b_fid", F.col("a_area").alias("area_a"), F.col("b_area").alias("area_b"), "a_n", "b_n", hits[0].alias("h_a"), hits[1].alias("h_b")).where("h_a > 0 or h_b > 0")
-    rows = rows.withColumn("cov_a", F.col("h_a") / F.col("a_n")).withColumn("cov_b", F.col("h_b") / F.col("b_n"))
+    # a generator, as a filter on the hits would be pushed below and count them twice
+    hits = F.explode(geo("sample_hits", "a_geom", "a_lattice", "b_geom", "b_lattice", F.lit(lattice)))
+    rows = pairs.select("a_fid", "b_fid", F.col("a_area").alias("area_a"), F.col("b_area").alias("area_b"), "a_n", "b_n", hits.alias("hits"))
+    rows = rows.withColumn("cov_a", F.col("hits.a") / F.col("a_n")).withColumn("cov_b", F.col("hits.b") / F.col("b_n"))
     shared = F.col("cov_a") * F.col("area_a")
     return rows.select("a_fid", "b_fid", shared.alias("shared_area"), F.col("cov_a").alias("coverage_a"), F.col("cov_b").alias("coverage_b"), (shared / F.nullif(F.col("area_a") + F.col("area_b") - shared, F.lit(0.0))).alias("iou"))
 

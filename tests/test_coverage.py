@@ -148,6 +148,21 @@ def test_sampling_joins_units_and_counts_points_as_a_plain_join_does(spark, monk
     assert max(x.count() for x in held) <= df.count()
 
 
+def test_pairs_are_measured_once_and_neighbours_not_at_all(spark):
+    a = boxes(spark, [[i, j, i + 1, j + 1] for i in range(6) for j in range(6)])
+    b = boxes(spark, [[i + 0.25, j, i + 1.25, j + 1] for i in range(6) for j in range(6)])
+    for rows, names in ((change.exact_pairs(a, b, change.planar_area), ("intersection", "common_part")), (change.sampled_pairs(a, b, 8, change.planar_area), ("sample_hits",))):
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(text.count(f"tess_{n}(") for n in names) == 1 and "tess_intersects(" not in text
+        # one of 65 samples lies on the surface
+        assert {(r.a_fid, r.b_fid): r.shared_area for r in rows.collect()} == pytest.approx({(x, y): 0.75 if x == y else 0.25 for x in range(1, 37) for y in (x, x - 6) if y > 0}, abs=1 / 65)
+    # an edge is no common area, of shapes whose boxes have one as well; a part without polygons is none
+    shapes = ["POLYGON ((0 0, 4 0, 0 4, 0 0))", "POLYGON ((4 0, 4 4, 0 4, 4 0))", "POLYGON ((2 0, 6 0, 2 4, 2 0))", "LINESTRING (0 0, 4 4)", "POLYGON EMPTY", None]
+    df = spark.createDataFrame(list(enumerate(shapes)), "fid long, t string").select("fid", geo("from_text", "t").alias("geom")).withColumn("bbox", geo("bbox", "geom"))
+    found = {(r.a_fid, r.b_fid): r.area for r in change.overlay(df, df).select("a_fid", "b_fid", geo("area", "geom").alias("area")).collect()}
+    assert found == pytest.approx({(0, 0): 8.0, (1, 1): 8.0, (2, 2): 8.0, (0, 2): 2.0, (2, 0): 2.0, (1, 2): 4.0, (2, 1): 4.0})
+
+
 def test_overlay_and_only(spark):
     a, b = matrix(spark)
     rest = {r.fid: r.area for r in change.only(a, b).select("fid", geo("area", "geom").alias("area")).collect()}
