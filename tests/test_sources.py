@@ -117,6 +117,25 @@ def test_flatgeobuf_without_features_and_dbf_names():
     assert list(rows[0].values()) == [1, None] and len(rows[0]) == 2
 
 
+@pytest.mark.parametrize("extension", [".kml", ".gml"])
+def test_xml_files_are_written_without_passing_through_python(spark, tmp_path, monkeypatch, extension):
+    register(spark)
+    monkeypatch.setattr(sinks, "_PART", 3)
+    monkeypatch.setattr(sinks, "_PIECE", 300)
+    rows = spark.range(0, 40, 1, 5).select((40 - F.col("id")).alias("fid"), geo("make_envelope", F.array(*(F.col("id").cast("double") + i for i in (0, 0, 1, 1)))).alias("geom"))
+    attrs = rows.select("fid", F.concat(F.lit("é & \r\n"), "fid").alias("name"))
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("rows are sent to the driver"))
+        path = sinks.export("cleaned", extension, str(tmp_path), rows, attrs, "many")
+        none = sinks.export("cleaned", extension, str(tmp_path), rows.limit(0), attrs, "none")
+    frame, made = (formats.kml_frame, formats.kml_features) if extension == ".kml" else (formats.gml_frame, formats.gml_features)
+    features = [(bytes(r.g), {"name": f"é & \r\n{r.fid}"}) for r in rows.select("fid", geo("multi", "geom").alias("g")).orderBy("fid").collect()]
+    for got, layer, own in ((path, "many_cleaned", features), (none, "none_cleaned", [])):
+        head, tail = frame(layer)
+        with open(got, "rb") as f:
+            assert f.read() == head + b"".join(x + b"\n" for x in made(own, layer, {"name": "TEXT"})) + tail
+
+
 def test_parquet_keeps_types_and_order_over_partitions(spark, tmp_path):
     rows = spark.range(0, 30_000, 1, 7).selectExpr("id", "cast(id % 9 as decimal(20, 2)) as `d.d`", "timestamp'2024-07-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as t", "if(id % 3 = 0, null, date'2024-02-29') as day", "array(id) as list")
     path = sinks.export("changelog", ".parquet", str(tmp_path), rows)
